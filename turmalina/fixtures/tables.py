@@ -4,6 +4,8 @@ Roles: nation = municipality, region = training unit, part name = course, part t
 occupation, brand or supplier = competing institution, returned line = enrolment.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from turmalina.plans.catalogue import ITINERARIES, OCCUPATIONS, TITLE
@@ -27,8 +29,30 @@ BRAND_ARMS = [
 ]
 
 
+# Schemas of the tables used, so that opening one starts no job.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, "
+              "props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def occupation(c):
@@ -40,10 +64,7 @@ class Feeds:
     """Raw feeds over one folder of driver tables."""
 
     def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def t(self, name):
-        return table(self.spark, self.sf_dir, name)
+        self.t = lru_cache(maxsize=None)(lambda name: table(spark, sf_dir, name))
 
     def _order_places(self):
         """Orders with the customer's nation."""

@@ -37,11 +37,17 @@ def _fold_tables():
     return "".join(source), "".join(target), wide
 
 
+def constant_map(mapping: dict) -> Column:
+    """A map literal, as one constant rather than a node per entry."""
+    packed = "\x1e".join(f"{key}\x1f{value}" for key, value in mapping.items())
+    return F.str_to_map(F.lit(packed), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def normalise_key(c: Column) -> Column:
     """Accent-free, alphanumeric, upper-case join key; null becomes the empty string."""
     source, target, wide = _fold_tables()
     text = F.coalesce(c.cast("string"), F.lit(""))
-    table = F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])
+    table = constant_map(wide)
     widened = F.array_join(
         F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
     # Few texts hold a character that widens, so the per-character pass is guarded.
@@ -66,8 +72,9 @@ def holds_word(columns, word: str = fv.SUBTOTAL_WORD) -> Column:
     The columns are joined by a line end (which is no word character), so a row costs one
     pattern search however many columns there are.
     """
-    joined = F.concat_ws("\n", *[c.cast("string") for c in columns])
-    return F.lower(joined).rlike(r"(?U)\b" + re.escape(word) + r"\b")
+    joined = F.lower(F.concat_ws("\n", *[c.cast("string") for c in columns]))
+    # The plain search settles nearly every row before the pattern is tried.
+    return joined.contains(word) & joined.rlike(r"(?U)\b" + re.escape(word) + r"\b")
 
 
 def drop_subtotals(df, columns=None, word: str = fv.SUBTOTAL_WORD):
@@ -138,8 +145,7 @@ def first_match(c: Column, arms=None) -> Column:
 
 def recode(c: Column, mapping: dict) -> Column:
     """Exact recode; values outside the mapping stay."""
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return F.coalesce(F.element_at(table, c), c)
+    return F.coalesce(F.element_at(constant_map(mapping), c), c)
 
 
 def keyword_class(c: Column, classes, other: str) -> Column:
