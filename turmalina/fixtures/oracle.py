@@ -315,7 +315,7 @@ ORACLE = {
         f"WHEN {lit(k)} THEN {lit(v)}" for k, v in NATION_ACCENTS.items()) + " ELSE n_name END AS NOME FROM nation",
     "explode_multiline": f"""SELECT doc_id, LINHA, ORIGEM FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS LINHA,
-               unnest(list_concat([source], list_transform(range(len(string_split(text, chr(10))) - 1), x -> ''))) AS ORIGEM
+               unnest(list_resize([source], len(string_split(text, chr(10))), '')) AS ORIGEM
         FROM documents) WHERE trim(LINHA, {BLANKS}) <> ''""",
     "occupation_code": f"SELECT page_id, nullif(regexp_replace({CODE}, '\\D', '', 'g'), '') AS CODIGO, "
                        f"substr(nullif(regexp_replace({CODE}, '\\D', '', 'g'), ''), 1, 4) AS FAMILIA, "
@@ -345,7 +345,7 @@ ORACLE = {
                       "SALARIO_ADMITIDOS, round(SALARIO_DESLIGADOS, 2) AS SALARIO_DESLIGADOS) FROM flow"),
     "job_flow_by_municipality": feeds(
         "SELECT ANO, nk::VARCHAR AS municipio, CO_CBO, round(SALARIO_DESLIGADOS, 2) AS SALARIO_DESLIGADOS, "
-        "round(SALARIO_ADMITIDOS, 2) AS SALARIO_ADMITIDOS, round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO, "
+        "round(SALARIO_ADMITIDOS, 2) AS SALARIO_ADMITIDOS, round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, "
         "SUM_ADMITIDOS, SUM_DESLIGADOS, substr(CO_CBO, 1, 4) AS CO_CBO_FAMILIA FROM flow0"),
     "census_rows": feeds(
         "SELECT y AS ANO, CASE WHEN l_linenumber = 4 THEN 'PRIVADA' ELSE 'PÚBLICA' END AS DEPEND_ADM, "
@@ -372,10 +372,10 @@ ORACLE = {
                       "WHERE p_size % 3 <> 0",
     "course_occupation": feeds("SELECT CBO, CURSO, 'CHP' AS MODALIDADE FROM cat"),
     "course_occupation_all": feeds(
-        "SELECT CBO, CURSO, 'CHP' AS MODALIDADE FROM cat UNION SELECT CBO, item, class FROM cat JOIN ("
+        "SELECT CBO, CURSO, 'CHP' AS MODALIDADE FROM cat UNION SELECT CBO, u.i, u.c FROM cat JOIN ("
         "SELECT upper(p_name) AS CURSO, unnest([{'i': 'Especialização Técnica em ' || p_brand, 'c': 'POSTEC'}, "
         "{'i': 'Bacharelado em ' || p_type, 'c': 'GRAD'}, {'i': 'Bacharelado em Negócios da Moda', 'c': 'GRAD'}, "
-        "{'i': 'Oficina de ' || p_brand, 'c': 'FIC'}]) AS u, u.i AS item, u.c AS class FROM part WHERE p_size <= 3) "
+        "{'i': 'Oficina de ' || p_brand, 'c': 'FIC'}]) AS u FROM part WHERE p_size <= 3) "
         "USING (CURSO)"),
     "panel": on_panel(PANEL_OUT),
     "panel_dedupe": on_panel(PANEL_OUT, panel=DEDUPE),

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from turmalina.fixtures.jobs import Jobs
 from turmalina.fixtures.scorer import fixed_scorer
-from turmalina.fixtures.tables import TABLES, table
+from turmalina.fixtures.tables import TABLES, WAGES, YEARS, table
 from turmalina.functions import measures, text
 from turmalina.operators import latest
 from turmalina.operators.lines import explode_lines
@@ -13,6 +13,7 @@ from turmalina.operators.split import class_weights
 from turmalina.plans import catalogue, competitors, decision, enrolment, labour, scenario, whatif
 from turmalina.plans.scoring import cell_label, score, sensitivity, with_features, with_impacts
 from turmalina.plans.training import BandModel, TrainingOptions, evaluate, split_panel, train
+from turmalina.schemas import CATEGORICAL, NUMERIC, PANEL_COLUMNS
 from turmalina.sources import tables as io
 
 PART_RULES = [
@@ -155,8 +156,9 @@ def job_flow(spark, sf):
 
 
 def job_flow_by_municipality(spark, sf):
-    from turmalina.fixtures.tables import WAGES, YEARS
     flow = labour.job_flow_by_municipality(Jobs(spark, sf).feeds.job_flow_raw(), YEARS, WAGES)
+    # Means of few amounts in cents often end in exactly half a cent; the addend settles them.
+    flow = flow.withColumn("SALARIO_MEDIO", F.col("SALARIO_MEDIO") + 0.000001)
     return _round(flow, 2, "SALARIO_MEDIO", "SALARIO_ADMITIDOS", "SALARIO_DESLIGADOS")
 
 
@@ -343,15 +345,18 @@ def whatif_query(spark, sf):
     return _round(rows.select("UNIDADE", "CURSO", "FAIXA_DOMINANTE", "PROB_MAX"), 6, "PROB_MAX")
 
 
+def _edit(case, variable, value):
+    return F.struct(F.lit(case).alias("CASO"), F.lit(variable).alias("VARIAVEL"),
+                    value.alias("VALOR"))
+
+
 def whatif_edit_table(spark, sf):
     df = written_panel(spark, sf)
     edits = df.groupBy("UNIDADE", F.col("CURSO").alias("CURSO_SEL")).agg(
         F.max("QTD_CONC").cast("double").alias("c"), F.min("SALARIO_MEDIO").alias("s")
     ).select("UNIDADE", "CURSO_SEL", F.explode(F.array(
-        F.struct(F.lit("a").alias("CASO"), F.lit("QTD_CONC").alias("VARIAVEL"), F.col("c").alias("VALOR")),
-        F.struct(F.lit("b"), F.lit("QTD_CONC"), F.col("c") + 5),
-        F.struct(F.lit("b"), F.lit("SALARIO_MEDIO"), F.col("s")))).alias("e")) \
-        .select("UNIDADE", "CURSO_SEL", "e.*")
+        _edit("a", "QTD_CONC", F.col("c")), _edit("b", "QTD_CONC", F.col("c") + 5),
+        _edit("b", "SALARIO_MEDIO", F.col("s")))).alias("e")).select("UNIDADE", "CURSO_SEL", "e.*")
     rows = whatif.whatif(df, fixed_scorer(), edit_table=edits)
     return _round(rows.select("UNIDADE", "CURSO", "CASO", "FAIXA_DOMINANTE", "PROB_MAX"), 6, "PROB_MAX")
 
@@ -373,8 +378,10 @@ def whatif_courses_fn(spark, sf):
 
 
 def _latest_with_impacts(spark, sf):
+    required = CATEGORICAL + NUMERIC
     rows = whatif.whatif(written_panel(spark, sf), fixed_scorer(), _edits())
-    return with_impacts(rows, fixed_scorer())
+    rows = rows.drop("CURSO_SEL", *[c for c in PANEL_COLUMNS if c not in required])
+    return with_impacts(rows, fixed_scorer(), ["UNIDADE", "CURSO"])
 
 
 def sensitivity_query(spark, sf):
@@ -439,7 +446,7 @@ def features(spark, sf):
 def train_and_score(spark, sf):
     df = written_panel(spark, sf)
     model = train(df, QUICK)
-    return score(df, model).select("ANO", "CURSO", "UNIDADE", "FAIXA_MAT", "FAIXA_DOMINANTE", "PROB_MAX")
+    return score(df, model).select(F.col("ANO").cast("int").alias("ANO"), "CURSO", "UNIDADE", "FAIXA_MAT", "FAIXA_DOMINANTE", "PROB_MAX")
 
 
 def evaluate_query(spark, sf):

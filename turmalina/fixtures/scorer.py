@@ -30,7 +30,7 @@ class LinearScorer:
                     total = total + F.col("_z")[i] * linear[v]
             raw.append(F.exp(total))
         rows = rows.withColumn("_e", F.array(*raw))
-        total = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x)
+        total = sum((F.col("_e")[k] for k in range(1, len(raw))), F.col("_e")[0])
         return rows.withColumn("_s", total).withColumn(
             "PROBS", F.transform("_e", lambda x: x / F.col("_s"))).drop("_z", "_e", "_s")
 

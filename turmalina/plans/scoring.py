@@ -46,27 +46,35 @@ def shocked(c, delta=0.10, epsilon=1.0):
     return F.when(c > 0, c * (1 + delta)).otherwise(F.lit(epsilon))
 
 
-def with_impacts(df, scorer, variables=None, delta=0.10, epsilon=1.0, band_index=None):
-    """Add ``IMPACTOS``: how each shocked variable moves the probability of a band.
+def shocked_rows(df, scorer, variables=None, delta=0.10, epsilon=1.0, band_index=None):
+    """Each scored row once per variable, with ``VARIAVEL`` and ``IMPACTO``: how far the
+    shocked variable moves the probability of a band.
 
     The band is the row's dominant one unless ``band_index`` names a column or constant.
-    The rows must be scored.  Each shock is one more scoring of the same row, kept beside
-    it, so there is neither an explode nor a join back.
+    The unshocked probability travels with the row, so there is no join back.
     """
     variables = [v for v in (variables or NUMERIC) if v in df.columns]
     index = F.col("FAIXA_IDX") if band_index is None else (
         F.col(band_index) if isinstance(band_index, str) else F.lit(band_index))
-    kept = df.columns
-    rows = df.withColumn("_i", index).withColumn("_p", F.element_at("PROBS", F.col("_i") + 1))
-    for n, variable in enumerate(variables):
-        trial = rows.withColumn("_v", F.col(variable)).withColumn("_o", F.col("PROBS")) \
-            .withColumn(variable, shocked(F.col(variable).cast("double"), delta, epsilon))
-        trial = scorer.score(trial.drop("PROBS")).withColumn("PROBS", finite(F.col("PROBS")))
-        rows = trial.withColumn(f"_d{n}", F.element_at("PROBS", F.col("_i") + 1) - F.col("_p")) \
-            .withColumn(variable, F.col("_v")).withColumn("PROBS", F.col("_o")).drop("_v", "_o")
-    impacts = F.array(*[F.struct(F.lit(v).alias("VARIAVEL"), F.col(f"_d{n}").alias("IMPACTO"))
-                        for n, v in enumerate(variables)])
-    return rows.select(*kept, impacts.alias("IMPACTOS"))
+    trials = df.select(
+        "*", F.struct("*").alias("_linha"), index.alias("_i"),
+        F.element_at("PROBS", index + 1).alias("_antes"),
+        F.explode(F.array(*[F.lit(v) for v in variables])).alias("VARIAVEL")).drop(*OUTCOME)
+    trials = trials.withColumns({
+        v: F.when(F.col("VARIAVEL") == v, shocked(F.col(v).cast("double"), delta, epsilon))
+        .otherwise(F.col(v).cast("double")) for v in variables})
+    after = F.element_at(finite(F.col("PROBS")), F.col("_i") + 1)
+    return scorer.score(trials).select(
+        *[F.col(f"_linha.{c}").alias(c) for c in df.columns], "VARIAVEL",
+        (after - F.col("_antes")).alias("IMPACTO"))
+
+
+def with_impacts(df, scorer, keys, **options):
+    """Scored rows with ``IMPACTOS``, the list of their impacts; ``keys`` identify a row."""
+    kept = [c for c in df.columns if c not in keys]
+    return shocked_rows(df, scorer, **options).groupBy(*keys).agg(
+        *[F.any_value(c).alias(c) for c in kept],
+        F.collect_list(F.struct("VARIAVEL", "IMPACTO")).alias("IMPACTOS"))
 
 
 def by_size(impacts):
@@ -80,9 +88,9 @@ def by_size(impacts):
 def sensitivity(df, scorer, keys, **options):
     """Long form of the impacts: one row per case and variable the input has."""
     options.setdefault("variables", [v for v in NUMERIC if v in df.columns])
-    rows = with_impacts(score(with_features(df), scorer), scorer, **options)
-    return rows.select(*keys, "FAIXA_DOMINANTE", F.explode("IMPACTOS").alias("x")) \
-        .select(*keys, "FAIXA_DOMINANTE", "x.VARIAVEL", "x.IMPACTO")
+    rows = score(with_features(df), scorer)
+    return shocked_rows(rows, scorer, **options) \
+        .select(*keys, "FAIXA_DOMINANTE", "VARIAVEL", "IMPACTO")
 
 
 def cell_label(band, probability):
