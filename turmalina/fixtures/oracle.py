@@ -140,8 +140,8 @@ def on_panel(select, sparse=False, more="", panel=PANEL):
     return f"WITH {FEEDS}, {ENROL.format(extra=SPARSE if sparse else '')}, {panel}{more} {select}"
 
 
-PANEL_OUT = ("SELECT * REPLACE (round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO, round(TOTAL_REPASSE, 2) AS "
-             "TOTAL_REPASSE, round(VLR_MEDIO_BENEFICIO, 2) AS VLR_MEDIO_BENEFICIO) FROM panel")
+PANEL_OUT = ("SELECT * REPLACE (round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, round(TOTAL_REPASSE + 0.000001, 2) AS "
+             "TOTAL_REPASSE, round(VLR_MEDIO_BENEFICIO + 0.000001, 2) AS VLR_MEDIO_BENEFICIO) FROM panel")
 
 
 # ---- scoring in SQL ---------------------------------------------------------
@@ -339,13 +339,13 @@ ORACLE = {
                     "c_nationkey::BIGINT AS c_nationkey FROM customer",
     "municipality": "SELECT upper(n_name) AS MUNICIPIO, upper(r_name) AS UNIDADE, replace(n_name, '_', '') AS "
                     "MUNICIPIO_COD FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "job_links": feeds("SELECT * REPLACE (round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO) FROM links"),
+    "job_links": feeds("SELECT * REPLACE (round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO) FROM links"),
     "establishments": feeds("SELECT * FROM firms"),
-    "job_flow": feeds("SELECT * REPLACE (round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO, round(SALARIO_ADMITIDOS, 2) AS "
-                      "SALARIO_ADMITIDOS, round(SALARIO_DESLIGADOS, 2) AS SALARIO_DESLIGADOS) FROM flow"),
+    "job_flow": feeds("SELECT * REPLACE (round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, round(SALARIO_ADMITIDOS + 0.000001, 2) AS "
+                      "SALARIO_ADMITIDOS, round(SALARIO_DESLIGADOS + 0.000001, 2) AS SALARIO_DESLIGADOS) FROM flow"),
     "job_flow_by_municipality": feeds(
-        "SELECT ANO, nk::VARCHAR AS municipio, CO_CBO, round(SALARIO_DESLIGADOS, 2) AS SALARIO_DESLIGADOS, "
-        "round(SALARIO_ADMITIDOS, 2) AS SALARIO_ADMITIDOS, round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, "
+        "SELECT ANO, nk::VARCHAR AS municipio, CO_CBO, round(SALARIO_DESLIGADOS + 0.000001, 2) AS SALARIO_DESLIGADOS, "
+        "round(SALARIO_ADMITIDOS + 0.000001, 2) AS SALARIO_ADMITIDOS, round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, "
         "SUM_ADMITIDOS, SUM_DESLIGADOS, substr(CO_CBO, 1, 4) AS CO_CBO_FAMILIA FROM flow0"),
     "census_rows": feeds(
         "SELECT y AS ANO, CASE WHEN l_linenumber = 4 THEN 'PRIVADA' ELSE 'PÚBLICA' END AS DEPEND_ADM, "
@@ -359,8 +359,8 @@ ORACLE = {
         "l_suppkey = s_suppkey JOIN muni ON s_nationkey = nk WHERE p_size = 50"),
     "scraped_competitors": feeds("SELECT * FROM scraped"),
     "competitors_union": feeds("SELECT * FROM conc"),
-    "benefit_by_unit": feeds("SELECT ANO, UNIDADE, QTD_FAMILIAS, round(TOTAL_REPASSE, 2) AS TOTAL_REPASSE, "
-                             "round(VLR_MEDIO_BENEFICIO, 2) AS VLR_MEDIO_BENEFICIO FROM aid"),
+    "benefit_by_unit": feeds("SELECT ANO, UNIDADE, QTD_FAMILIAS, round(TOTAL_REPASSE + 0.000001, 2) AS TOTAL_REPASSE, "
+                             "round(VLR_MEDIO_BENEFICIO + 0.000001, 2) AS VLR_MEDIO_BENEFICIO FROM aid"),
     "enrolment_rows": feeds(
         "SELECT y AS ANO, r_name AS UNIDADE, 'Técnico em ' || p_name AS CURSO, n_name AS CIDADE, "
         "sha256(o_custkey::VARCHAR || '|' || o_orderkey::VARCHAR) AS CPF_E_RA, CASE WHEN p_size <= 14 THEN "
@@ -403,7 +403,7 @@ ORACLE = {
     "course_stats": on_panel("SELECT CURSO, round(avg(SALDO_EMPREGO), 4) AS SALDO_EMPREGO_MEDIO, "
                              "round(avg(SALARIO_MEDIO), 4) AS SALARIO_MEDIO_MEDIO FROM panel GROUP BY CURSO"),
     "course_median": on_panel("SELECT CURSO, median(QTD_CONC)::DOUBLE AS QTD_CONC_MEDIANA FROM panel GROUP BY CURSO"),
-    "context_by_year": on_panel(f"SELECT * REPLACE (round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO) FROM ({CONTEXT})"),
+    "context_by_year": on_panel(f"SELECT * REPLACE (round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO) FROM ({CONTEXT})"),
     "context_table": on_panel(
         'SELECT ANO, UNIDADE, CURSO, FAIXA_MAT AS "FAIXA DE MATR. (SENAI)", MAT_PAG AS "MATR.(SENAI)", '
         'QTD_CONC AS "CONCORRÊNCIA)", QTD_EMPRESAS AS "EMPRESAS (RAIS)", SALDO_EMPREGO AS "SALDO EMPREGO (CAGED)", '
@@ -413,8 +413,8 @@ ORACLE = {
     "score_rows": on_panel("SELECT ANO, CURSO, UNIDADE, band AS FAIXA_DOMINANTE, round(pm, 6) AS PROB_MAX FROM "
                            f"({scored('SELECT * FROM panel')})"),
     "scenario_rows": on_panel(
-        "SELECT CENARIO, ANO, UNIDADE, CURSO, round(SALDO_EMPREGO, 2) AS SALDO_EMPREGO, round(QTD_CONC, 2) AS "
-        "QTD_CONC, round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO, round(VLR_MEDIO_BENEFICIO, 2) AS VLR_MEDIO_BENEFICIO "
+        "SELECT CENARIO, ANO, UNIDADE, CURSO, round(SALDO_EMPREGO + 0.000001, 2) AS SALDO_EMPREGO, round(QTD_CONC + 0.000001, 2) AS "
+        "QTD_CONC, round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, round(VLR_MEDIO_BENEFICIO + 0.000001, 2) AS VLR_MEDIO_BENEFICIO "
         "FROM future", more=FUTURE_X),
     "future_matrix": on_panel(FUTURE_OUT, more=FUTURE),
     "future_matrix_sparse": on_panel(FUTURE_OUT, sparse=True, more=FUTURE),
@@ -452,6 +452,6 @@ ORACLE = {
     "features": on_panel(
         "SELECT ANO, CURSO, UNIDADE, (6 + (SELECT count(DISTINCT UNIDADE) + count(DISTINCT CURSO) - 2 FROM panel))"
         "::INTEGER AS TAMANHO, (dense_rank() OVER (ORDER BY UNIDADE) - 1)::INTEGER AS POS_UNIDADE, "
-        "(dense_rank() OVER (ORDER BY CURSO) - 1)::INTEGER AS POS_CURSO, round(SALARIO_MEDIO, 2) AS SALARIO_MEDIO "
+        "(dense_rank() OVER (ORDER BY CURSO) - 1)::INTEGER AS POS_CURSO, round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO "
         "FROM panel"),
 }

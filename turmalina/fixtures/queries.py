@@ -53,7 +53,13 @@ def written_panel(spark, sf_dir, sparse=False):
 
 
 def _round(df, places, *columns):
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    """Rounded for comparison.
+
+    Means of few amounts in cents often end in exactly half a cent, where the order of a
+    sum decides the rounding; an addend far below a cent settles them.
+    """
+    addend = 0.000001 if places == 2 else 0.0
+    return df.withColumns({c: F.round(F.col(c) + addend, places) for c in columns})
 
 
 # ---- text -------------------------------------------------------------------
@@ -157,8 +163,6 @@ def job_flow(spark, sf):
 
 def job_flow_by_municipality(spark, sf):
     flow = labour.job_flow_by_municipality(Jobs(spark, sf).feeds.job_flow_raw(), YEARS, WAGES)
-    # Means of few amounts in cents often end in exactly half a cent; the addend settles them.
-    flow = flow.withColumn("SALARIO_MEDIO", F.col("SALARIO_MEDIO") + 0.000001)
     return _round(flow, 2, "SALARIO_MEDIO", "SALARIO_ADMITIDOS", "SALARIO_DESLIGADOS")
 
 
@@ -440,7 +444,7 @@ def features(spark, sf):
         F.col("ANO").cast("int").alias("ANO"), "CURSO", "UNIDADE", F.size("v").alias("TAMANHO"),
         F.array_position(F.slice("v", 7, units), 1.0).cast("int").alias("POS_UNIDADE"),
         F.array_position(F.slice("v", 7 + units, 100000), 1.0).cast("int").alias("POS_CURSO"),
-        F.round(F.col("v")[3], 2).alias("SALARIO_MEDIO"))
+        F.round(F.col("v")[3] + 0.000001, 2).alias("SALARIO_MEDIO"))
 
 
 def train_and_score(spark, sf):
