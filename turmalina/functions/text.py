@@ -14,13 +14,16 @@ from turmalina.functions import fixed_values as fv
 # Every character Python's str.strip() removes.
 WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 
+_ASCII_DROPPED = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
 
 @lru_cache(maxsize=1)
 def _fold_tables():
     """Split characters by what compatibility decomposition leaves of them in ASCII.
 
-    Returns ``(source, target, wide)``: one-to-one pairs for ``translate`` and a dict for
-    the few characters (ligatures, fractions, unit signs) that become several.
+    Returns ``(source, target, wide, ranges)``: one-to-one pairs for ``translate``, a dict
+    for the few characters (ligatures, fractions, unit signs) that become several, and a
+    short character class covering those few.
     """
     source, target, wide = [], [], {}
     for point in range(128, sys.maxunicode + 1):
@@ -34,7 +37,16 @@ def _fold_tables():
             target.append(plain)
         elif plain:
             wide[char] = plain
-    return "".join(source), "".join(target), wide
+    # A class of few ranges is searched far faster than one naming each character.  Letters
+    # with accents lie below U+2000 and stay outside; symbols in the gaps above do no harm.
+    ranges = []
+    for point in map(ord, wide):
+        if ranges and point - ranges[-1][1] <= (1 if point < 0x2000 else 0x400):
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    covering = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return "".join(source), "".join(target), wide, f"[{covering}]"
 
 
 def constant_map(mapping: dict) -> Column:
@@ -45,15 +57,16 @@ def constant_map(mapping: dict) -> Column:
 
 def normalise_key(c: Column) -> Column:
     """Accent-free, alphanumeric, upper-case join key; null becomes the empty string."""
-    source, target, wide = _fold_tables()
+    source, target, wide, ranges = _fold_tables()
     text = F.coalesce(c.cast("string"), F.lit(""))
+    # One pass folds accents and drops plain punctuation; mostly nothing else is left.
+    plain = F.translate(text, source + _ASCII_DROPPED, target)
     table = constant_map(wide)
     widened = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
-    # Few texts hold a character that widens, so the per-character pass is guarded.
-    text = F.when(text.rlike("[" + "".join(wide) + "]"), widened).otherwise(text)
-    folded = F.translate(text, source, target)
-    return F.upper(F.regexp_replace(folded, "[^0-9A-Za-z]+", ""))
+        F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+    rest = F.when(plain.rlike(ranges), widened).otherwise(plain)
+    cleaned = F.regexp_replace(rest, "[^0-9A-Za-z]+", "")
+    return F.upper(F.when(plain.rlike("[^0-9A-Za-z]"), cleaned).otherwise(plain))
 
 
 def strip(c: Column) -> Column:
