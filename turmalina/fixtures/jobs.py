@@ -6,7 +6,7 @@ from turmalina.fixtures.tables import (
     BRAND_ARMS, LAGGED, NETWORK_RULES, WAGES, YEARS, Feeds)
 from turmalina.plans import catalogue, competitors, enrolment, geography, labour
 from turmalina.plans.panel import build_panel
-from turmalina.sources.tables import stage, union_by_name
+from turmalina.sources.tables import union_by_name
 
 
 class Jobs:
@@ -52,11 +52,8 @@ class Jobs:
         return catalogue.course_occupation(self.feeds.course_catalogue(), modality)
 
     def panel(self, sparse=False, dedupe=False):
+        self.feeds.write_sales()
         return build_panel(
             self.enrolments(sparse), self.establishments(), self.course_occupation(),
             self.job_flow(), self.job_links(), union_by_name(self.census(), self.scraped()),
             self.benefit(), dedupe)
-
-    def written_panel(self, sparse=False):
-        """The panel as later steps find it: written once, then read."""
-        return stage(self.panel(sparse), "panel")

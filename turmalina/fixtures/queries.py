@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from turmalina.fixtures.jobs import Jobs
 from turmalina.fixtures.scorer import fixed_scorer
+from turmalina.fixtures.shared import written
 from turmalina.fixtures.tables import TABLES, WAGES, YEARS, table
 from turmalina.functions import measures, text
 from turmalina.operators import latest
@@ -31,25 +32,12 @@ EDITS = {"QTD_EMPRESAS": 1.2, "SALDO_EMPREGO": 0.5}
 # Few rounds: the checks ask for a working fit, not the best one.
 QUICK = TrainingOptions(rounds=8, rate=0.3)
 
-_written = {}
-
-
-def _fingerprint(spark, sf_dir):
-    """Changes when any table file changes; file contents are not read."""
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-    files = spark.read.format("binaryFile").load([f"{sf_dir}/{n}.parquet" for n in names])
-    mark = F.sum(F.xxhash64("path", "length", "modificationTime") % 1_000_003)
-    return files.agg(mark.alias("m"), F.count("*").alias("n")).first()
-
 
 def written_panel(spark, sf_dir, sparse=False):
     """The panel as the analysis steps find it: built and written once, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, sparse, tuple(_fingerprint(spark, sf_dir)))
-    if key not in _written:
-        path = io.work_path(spark, "panel")
-        io.write_panel(Jobs(spark, sf_dir).panel(sparse), path)
-        _written[key] = path
-    return io.read_panel(spark, _written[key])
+    path = written(spark, sf_dir, "panel-sparse" if sparse else "panel",
+                   lambda to: io.write_panel(Jobs(spark, sf_dir).panel(sparse), to))
+    return io.read_panel(spark, path)
 
 
 def _round(df, places, *columns):

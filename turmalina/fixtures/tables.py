@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from turmalina.fixtures.shared import written
 from turmalina.plans.catalogue import ITINERARIES, OCCUPATIONS, TITLE
 
 YEARS = list(range(1995, 2002))
@@ -64,7 +65,9 @@ class Feeds:
     """Raw feeds over one folder of driver tables."""
 
     def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
         self.t = lru_cache(maxsize=None)(lambda name: table(spark, sf_dir, name))
+        self._written = None
 
     def _order_places(self):
         """Orders with the customer's nation."""
@@ -76,6 +79,24 @@ class Feeds:
         return self.t("lineitem").join(
             self._order_places().withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
 
+    def _sales(self):
+        """Lines with their order, customer's nation and part: the base of four feeds."""
+        return self._with_part(self._lines()) if self._written is None else self._written
+
+    def write_sales(self):
+        """Join the base once and let the feeds read the written copy.
+
+        Four feeds would each shuffle the lines twice; now they only scan.
+        """
+        if self._written is None:
+            base = self._with_part(self._lines()).select(
+                "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
+                "l_linestatus", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                "o_orderpriority", "c_nationkey", "p_name", "p_brand", "p_type", "p_size")
+            path = written(self.spark, self.sf_dir, "sales",
+                           lambda to: base.hint("rebalance").write.parquet(to))
+            self._written = self.spark.read.schema(base.schema).parquet(path)
+
     def _with_part(self, df):
         return df.join(self.t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
 
@@ -92,13 +113,13 @@ class Feeds:
             F.col("n_name").alias("NO_MUNICIPIO"))
 
     def enrolment_cube(self, sparse=False):
-        lines = self._lines().filter("l_returnflag = 'R'")
+        lines = self._sales().filter("l_returnflag = 'R'")
         if sparse:
             lines = lines.filter("l_quantity >= 48 AND year(o_orderdate) >= 2000")
         places = self.t("nation").join(
             self.t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"
         ).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
-        return self._with_part(lines).join(places, "c_nationkey").select(
+        return lines.join(places, "c_nationkey").select(
             F.col("l_linestatus").alias("TIPO_ALUNO"),
             F.col("l_returnflag").alias("TIPO_MATRICULA"),
             F.col("o_orderstatus").alias("SITUACAO_CURSO"),
@@ -123,7 +144,7 @@ class Feeds:
             (F.col("s_suppkey") % 10).cast("string").alias("COD_SUBCLASSE_CNAE"), "Ano")
 
     def job_flow_raw(self):
-        return self._with_part(self._lines()).select(
+        return self._sales().select(
             F.col("o_orderdate").cast("date").alias("Data"),
             F.col("c_nationkey").cast("string").alias("municipio"),
             occupation(F.col("p_type")).alias("cbo2002_ocupacao"),
@@ -133,13 +154,13 @@ class Feeds:
             F.when(F.col("o_orderpriority") == "5-LOW", 111).otherwise(101).alias("categoria"))
 
     def job_links_raw(self):
-        return self._with_part(self._lines()).select(
+        return self._sales().select(
             F.col("c_nationkey").cast("string").alias("CO_MUN_IBGE_6"),
             occupation(F.col("p_type")).alias("CO_CBO"), F.year("o_orderdate").alias("Ano"),
             F.col("l_extendedprice").alias("VL_REMUNERACAO_MEDIA_NOMINAL"))
 
     def school_census_raw(self):
-        return self._with_part(self._lines()).filter("p_size <= 3").select(
+        return self._sales().filter("p_size <= 3").select(
             F.year("o_orderdate").alias("NU_ANO_CENSO"),
             F.concat(F.col("c_nationkey").cast("string"), F.lit("7")).alias("CO_MUNICIPIO"),
             F.col("l_linenumber").alias("TP_DEPENDENCIA"),

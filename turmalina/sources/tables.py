@@ -106,14 +106,3 @@ def work_path(spark, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/turmalina/{name}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix="turmalina-"), name)
-
-
-def stage(df, name: str = "stage"):
-    """Write a table once and go on from the written copy.
-
-    Later reads neither repeat the work nor depend on any executor that did it.
-    """
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
