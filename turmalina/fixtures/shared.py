@@ -17,7 +17,7 @@ def fingerprint(spark, sf_dir):
 
 def written(spark, sf_dir, name, write):
     """Path of the copy; ``write(path)`` makes it the first time."""
-    key = (spark.sparkContext.applicationId, sf_dir, name, fingerprint(spark, sf_dir))
+    key = (spark.conf.get("spark.app.id", ""), sf_dir, name, fingerprint(spark, sf_dir))
     if key not in _paths:
         path = work_path(spark, name)
         write(path)
