@@ -126,6 +126,16 @@ def test_base_scenario_of_the_last_year_scores_like_the_last_row(spark):
     assert future.PROB_MAX == pytest.approx(real.PROB_MAX, abs=1e-15)
 
 
+def test_row_order_changes_nothing(spark):
+    df = panel(spark)
+    mixed = spark.createDataFrame(list(reversed(df.collect())), df.schema).repartition(3)
+    for make in (lambda d: scenario.future_matrix(d, fixed_scorer()),
+                 lambda d: scenario.probability_history(d, fixed_scorer(), per_course=False),
+                 lambda d: whatif.real_rows(d, per_course=False),
+                 lambda d: decision.recommendation_table(d, fixed_scorer(), ["U1", "U2"])):
+        assert sorted(map(tuple, make(df).collect()), key=str) == sorted(map(tuple, make(mixed).collect()), key=str)
+
+
 def test_units_filter_and_unknown_scenario(spark):
     got = scenario.future_matrix(panel(spark), fixed_scorer(), scenarios=("base", "outro"), units=["U2"])
     rows = {(r.CENARIO, r.CURSO): r.PROB_MAX for r in got.collect()}

@@ -380,7 +380,7 @@ ORACLE = {
     "panel": on_panel(PANEL_OUT),
     "panel_dedupe": on_panel(PANEL_OUT, panel=DEDUPE),
     "panel_sparse": on_panel(PANEL_OUT, sparse=True),
-    "panel_roundtrip": on_panel(PANEL_OUT + " WHERE ANO >= 1997"),
+    "panel_roundtrip": on_panel(PANEL_OUT),
     "band_profile": on_panel("SELECT FAIXA_MAT, count(*)::BIGINT AS N, round(count(*) / sum(count(*)) OVER (), 6) "
                              "AS PARTE FROM panel GROUP BY FAIXA_MAT"),
     "class_weights": on_panel("SELECT FAIXA_MAT, count(*)::BIGINT AS N, round((SELECT count(*) / count(DISTINCT "

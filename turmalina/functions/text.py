@@ -3,8 +3,7 @@
 import re
 import sys
 import unicodedata
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,7 +114,7 @@ def strip_course_prefix(c: Column) -> Column:
 
 def strip_titles(c: Column) -> Column:
     """Upper-case catalogue title with qualification words removed wherever they stand."""
-    return reduce(lambda acc, p: F.replace(acc, F.lit(p), F.lit("")), fv.TITLE_PREFIXES, F.upper(c))
+    return ordered_rules(F.upper(c), [(prefix, "") for prefix in fv.TITLE_PREFIXES])
 
 
 def clean_institution(c: Column) -> Column:
@@ -205,7 +204,3 @@ def student_key(document: Column, registration: Column) -> Column:
 
 def not_blank(c: Column) -> Column:
     return c.isNotNull() & (strip(c) != "")
-
-
-def any_of(conditions) -> Column:
-    return reduce(or_, conditions)

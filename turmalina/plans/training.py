@@ -39,22 +39,20 @@ def fit_features(rows, options):
 
     A category unseen in training encodes like the first one, as all zeros.
     """
-    stages, blocks = [], list(options.numeric)
-    for column in options.categorical:
-        indexer = StringIndexer(inputCol=column, outputCol=f"_{column}_i", handleInvalid="keep",
-                                stringOrderType="alphabetDesc").fit(rows)
-        stages.append(indexer)
-        size = len(indexer.labels)
-        if size < 2:
-            continue
-        # The encoder drops the slot of unseen values; the slicer drops the first category
-        # and puts the others in ascending order.
-        stages += [
-            OneHotEncoder(inputCol=f"_{column}_i", outputCol=f"_{column}_v", dropLast=True),
-            VectorSlicer(inputCol=f"_{column}_v", outputCol=f"_{column}_s",
-                         indices=list(range(size - 2, -1, -1))),
-        ]
-        blocks.append(f"_{column}_s")
+    indexer = StringIndexer(
+        inputCols=options.categorical, outputCols=[f"_{c}_i" for c in options.categorical],
+        handleInvalid="keep", stringOrderType="alphabetDesc").fit(rows)
+    sizes = {c: len(labels) for c, labels in zip(options.categorical, indexer.labelsArray)}
+    coded = [c for c in options.categorical if sizes[c] > 1]
+    stages = [indexer]
+    if coded:
+        # The encoder drops the slot of unseen values; the slicers drop the first category
+        # and put the others in ascending order.
+        stages.append(OneHotEncoder(inputCols=[f"_{c}_i" for c in coded],
+                                    outputCols=[f"_{c}_v" for c in coded], dropLast=True))
+    stages += [VectorSlicer(inputCol=f"_{c}_v", outputCol=f"_{c}_s",
+                            indices=list(range(sizes[c] - 2, -1, -1))) for c in coded]
+    blocks = [*options.numeric, *[f"_{c}_s" for c in coded]]
     stages.append(VectorAssembler(inputCols=blocks, outputCol="features"))
     return Pipeline(stages=stages).fit(rows).stages
 
@@ -84,13 +82,13 @@ def train(panel, options=None):
     Boosting is one binary fit per band, run side by side.
     """
     options = options or TrainingOptions()
-    rows = split_panel(with_features(panel, options.numeric), options)
+    rows = with_features(panel, options.numeric)
     labels = StringIndexer(inputCol=LABEL, outputCol="label",
                            stringOrderType="alphabetAsc").fit(rows)
     if len(labels.labels) < 2:
         raise ValueError("the panel holds one band only; nothing can be learnt")
     encoders = fit_features(rows, options)
-    training = with_class_weight(rows.filter("NOT E_TESTE"), LABEL)
+    training = with_class_weight(split_panel(rows, options).filter("NOT E_TESTE"), LABEL)
     encoded = PipelineModel([labels, *encoders]).transform(training) \
         .select("label", "features", "PESO")
     learner = _learner(options)
