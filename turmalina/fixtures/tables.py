@@ -94,7 +94,7 @@ class Feeds:
                 "l_linestatus", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                 "o_orderpriority", "c_nationkey", "p_name", "p_brand", "p_type", "p_size")
             path = written(self.spark, self.sf_dir, "sales",
-                           lambda to: base.hint("rebalance").write.parquet(to))
+                           lambda to: base.write.parquet(to))
             self._written = self.spark.read.schema(base.schema).parquet(path)
 
     def _with_part(self, df):

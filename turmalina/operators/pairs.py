@@ -9,8 +9,13 @@ equal slots.  Neither side is gathered in one task.
 from pyspark.sql import functions as F
 
 
-def pair_grid(left, right, right_key, slots: int = 64):
-    """Each left row with each right row; ``right_key`` must be unique on the right."""
+def pair_grid(left, right, right_key, slots: int | None = None):
+    """Each left row with each right row; ``right_key`` must be unique on the right.
+
+    By default there are as many slots as shuffle partitions, at least 64.
+    """
+    if slots is None:
+        slots = max(64, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     right = right.withColumn("_slot", F.pmod(F.xxhash64(right_key), F.lit(slots)).cast("int"))
     left = left.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return left.join(right, "_slot").drop("_slot")
