@@ -109,6 +109,7 @@ def test_enrolments(spark):
     cube = feed(spark, "enrolment_cube", [
         cube_row(**base), cube_row(**{**base, "UNIDADE": "SENAI DENDEZEIROS"}),
         cube_row(**{**base, "CURSO": "TÉCNICO  EM redes "}), cube_row(**{**base, "SEXO": "Total"}),
+        cube_row(**{**base, "CURSO": "Total geral"}), cube_row(**{**base, "PERIODO_LETIVO": "2024 total"}),
         cube_row(**{**base, "PERIODO_LETIVO": "2026/1"}), cube_row(**{**base, "UNIDADE": None}),
         cube_row(**{**base, "UNIDADE": "SENAI LEM"}), cube_row(**{**base, "PERIODO_LETIVO": "x"})])
     got = rows(enrolment.enrolments(cube, municipality), "UNIDADE")
@@ -177,3 +178,12 @@ def test_query_errors_are_wrapped(spark):
 
 def test_trim_column_names(spark):
     assert io.trim_column_names(spark.createDataFrame([(1,)], "` a ` int")).columns == ["a"]
+
+
+def test_enrolment_texts_are_cleaned_per_group(spark):
+    """Catalyst must not move the text functions below the first count."""
+    municipality, _ = dims(spark)
+    cube = feed(spark, "enrolment_cube", [cube_row(UNIDADE="X", CURSO="C", PERIODO_LETIVO="2024", CIDADE="I")])
+    plan = enrolment.enrolments(cube, municipality)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("count(1) AS n#"):].split("MUNICIPIO_COD#")[0]
+    assert "DENDEZEIROS" in plan and "DENDEZEIROS" not in below and "ARAÇAS" not in below

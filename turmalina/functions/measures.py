@@ -51,6 +51,15 @@ def sum0(c) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
+def on_groups(count: Column, condition: Column) -> Column:
+    """A condition to be checked once per group of an aggregation.
+
+    A condition on grouping columns alone would be moved below the aggregation and run on
+    every raw row, text functions included; one that reads the group's count stays above.
+    """
+    return F.when(count > 0, condition)
+
+
 def fill_numeric(df):
     """0 for every missing numeric value (NaN included)."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

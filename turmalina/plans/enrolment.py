@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from turmalina.functions import fixed_values as fv
-from turmalina.functions.measures import age_band, fill_numeric
+from turmalina.functions.measures import age_band, fill_numeric, on_groups
 from turmalina.functions.text import (
-    drop_subtotals, normalise_key, recode, strip, strip_course_prefix, strip_unit_name,
+    drop_subtotals, holds_word, normalise_key, recode, strip, strip_course_prefix, strip_unit_name,
     student_key)
 from turmalina.sources.tables import trim_column_names
 
@@ -31,12 +31,16 @@ def enrolments(cube, municipality, year_cap=fv.ENROLMENT_YEAR_CAP, city_recode=N
     """Number of enrolments.
 
     Subtotal rows go first; the rest is counted under the raw texts, so the text functions
-    run once per distinct combination instead of once per enrolment.
+    run once per distinct combination instead of once per enrolment.  That includes the
+    subtotal search in the counted texts themselves.
     """
-    raw = (drop_subtotals(trim_column_names(cube))
+    counted = ["UNIDADE", "CURSO", "CIDADE"]
+    others = [c for c in fv.SUBTOTAL_COLUMNS if c not in counted]
+    raw = (drop_subtotals(trim_column_names(cube), others).dropna(subset=["UNIDADE", "CURSO"])
            .select(F.substring(F.col("PERIODO_LETIVO").cast("string"), 1, 4).alias("p"),
                    "UNIDADE", "CURSO", "CIDADE")
            .groupBy("p", "UNIDADE", "CURSO", "CIDADE").agg(F.count("*").alias("n")))
+    raw = raw.filter(on_groups(F.col("n"), ~holds_word([F.col(c) for c in counted])))
     city = recode(F.upper(strip(F.col("CIDADE"))), city_recode or fv.CITY_RECODE)
     # A city listed more than once repeats its enrolments, as the lookup would.
     listed = municipality.groupBy("MUNICIPIO_COD").agg(F.count("*").alias("vezes"))
@@ -48,5 +52,5 @@ def enrolments(cube, municipality, year_cap=fv.ENROLMENT_YEAR_CAP, city_recode=N
                 .alias("UNIDADE"),
                 strip_course_prefix(F.col("CURSO")).alias("CURSO"),
                 (F.col("n") * F.coalesce("vezes", F.lit(1))).alias("n"))
-            .filter(F.col("ANO") <= year_cap).dropna(subset=KEYS)
+            .filter(on_groups(F.col("n"), F.col("ANO") <= year_cap))
             .groupBy(*KEYS).agg(F.sum("n").alias("MATRICULAS")))

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from turmalina.functions.measures import enrolment_band, fill_numeric
+from turmalina.functions.measures import enrolment_band, fill_numeric, on_groups
 from turmalina.functions.text import occupation_family
 from turmalina.schemas import PANEL_COLUMNS, PANEL_KEYS
 
@@ -33,8 +33,10 @@ def build_panel(enrolments, establishments, course_occupation, job_flow, job_lin
     def times(name):
         return F.lit(1) if dedupe else F.coalesce(F.col(name), F.lit(1))
 
-    base = (enrolments.dropna(subset=PANEL_KEYS).groupBy(*PANEL_KEYS)
-            .agg(F.sum("MATRICULAS").alias("_mat")))
+    keyed = F.col("ANO").isNotNull() & F.col("CURSO").isNotNull() & F.col("UNIDADE").isNotNull()
+    base = (enrolments.groupBy(*PANEL_KEYS)
+            .agg(F.sum("MATRICULAS").alias("_mat"), F.count("*").alias("_n"))
+            .filter(on_groups(F.col("_n"), keyed)).drop("_n"))
 
     flow = _grouped(job_flow, OCCUPATION, "_n_flow", _adm="SUM_ADMITIDOS", _des="SUM_DESLIGADOS",
                     _saldo="SALDO_EMPREGO", _wage="SALARIO_MEDIO",
