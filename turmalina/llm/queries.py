@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import best_fit_packing, packed_matrices
+from . import best_fit_packing, decontamination, ngram_jaccard_join, packed_matrices
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -12,9 +12,19 @@ def op1_best_fit_packing(spark, sf_dir):
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return ngram_jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_packed_matrices(spark, sf_dir):
     return packed_matrices.matrices(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_packed_matrices)}
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_ngram_jaccard_join, op5_packed_matrices, op7_benchmark_decontamination,
+)}
 ORACLE = {}
