@@ -2,8 +2,10 @@
 
 import public_tokenizers
 
-from . import best_fit_packing, decontamination, ngram_jaccard_join, packed_matrices
-from .common import table
+from pyspark.sql import functions as F
+
+from . import best_fit_packing, decontamination, language_id, ngram_jaccard_join, packed_matrices
+from .common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,7 +26,13 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+    return language_id.identify(docs, language_id.learn(docs.filter("NOT held_out")), ("doc_id", "held_out"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_ngram_jaccard_join, op5_packed_matrices, op7_benchmark_decontamination,
+    op10_language_id,
 )}
 ORACLE = {}
