@@ -4,7 +4,10 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, decontamination, language_id, ngram_jaccard_join, packed_matrices
+from . import (
+    best_fit_packing, decontamination, hilbert_sharding, language_id, nearest_neighbours, ngram_jaccard_join,
+    packed_matrices, url_filter,
+)
 from .common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,17 +25,30 @@ def op5_packed_matrices(spark, sf_dir):
     return packed_matrices.matrices(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_hilbert_sharding(spark, sf_dir):
+    return hilbert_sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     return language_id.identify(docs, language_id.learn(docs.filter("NOT held_out")), ("doc_id", "held_out"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_ngram_jaccard_join, op5_packed_matrices, op7_benchmark_decontamination,
-    op10_language_id,
+    op1_best_fit_packing, op2_ngram_jaccard_join, op5_packed_matrices, op6_hilbert_sharding,
+    op7_benchmark_decontamination, op8_nearest_neighbours, op9_url_filter, op10_language_id,
 )}
 ORACLE = {}
