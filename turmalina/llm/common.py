@@ -78,13 +78,13 @@ def text_slices(batches, text: str = "text", limit: int = SLICE_BYTES):
 
 
 def column_bytes(column):
-    """The UTF-8 bytes of a string column and the rows' offsets in them; null is empty."""
-    if pa.types.is_large_string(column.type):
+    """The bytes of a string or binary column and the rows' offsets in them; null is empty."""
+    if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:
         kind = np.int32
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     _, offsets, data = column.buffers()
     if offsets is None or len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)

@@ -7,7 +7,8 @@ probability ``(c + 1) / (N_class + V_class + 1)``.  So the model gives every wor
 and its tables have a fixed size.
 
 Each training round runs scaled forward and backward recursions in the tasks over stretches of
-at most ``STRETCH`` tokens of all training documents, and Spark adds up the expected counts.
+at most ``STRETCH`` tokens of all training documents, and Spark adds up the expected counts.  Texts
+follow each other in a task, each starting anew, so all stretches are of one length.
 Scoring is exact: the scaled forward recursion goes through each whole text.
 
 Counts of the ``cached`` most frequent words go to the tasks; those of all others are joined.
@@ -32,6 +33,7 @@ STATES = 8
 CLASSES = 256
 STRETCH = 256
 END = np.uint64(0x454E44)  # stands for the end of a text
+TOGETHER = 8 << 20  # symbol bytes whose recursions run side by side
 FLUSH = 2_000_000  # distinct words a task holds before it passes its counts on
 
 
@@ -80,60 +82,78 @@ def word_counts(docs):
 class Words:
     """What tasks know of words: the cached counts, own classes and rare-class totals."""
 
-    def __init__(self, top, own, totals, n, v):
+    BITS = 18
+
+    def __init__(self, top, own, totals, n, v, ends):
         h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-        self.own = own
         order = np.argsort(h)
-        self.hashes, self.counts = h[order], c[order]
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
-        self.symbols = np.full(len(h), -1, np.int32)
-        self.symbols[rank[:own]] = np.arange(1, min(own, len(h)) + 1)
-        self.totals, self.n, self.v = totals, n, v
+        self.own, self.hashes, self.counts = own, h[order], c[order]
+        self.symbols = np.zeros(len(h), np.int32)
+        self.symbols[np.argsort(order)[:own]] = np.arange(1, own + 1)  # 0: through a class
+        # Cached hashes by their leading bits, so a look-up tries few of them.
+        lead = (self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.first = np.searchsorted(lead, np.arange((1 << self.BITS) + 1))
+        self.totals, self.n, self.v, self.ends = totals, n, v, ends
         self.size = 1 + own + CLASSES  # the end, own words, rare classes
 
     def look_up(self, hashes, classes):
         """Symbol, count (-1 where not cached) and whether the word emits through a class."""
-        symbol = classes + np.int32(1 + self.own)
-        count = np.full(len(hashes), -1, np.int64)
-        if len(self.hashes):
-            u, inverse = np.unique(hashes, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
-            hit = self.hashes[at] == u
-            count = np.where(hit, self.counts[at], -1)[inverse]
-            own = np.where(hit, self.symbols[at], -1)[inverse]
-            symbol = np.where(own >= 0, own, symbol)
-        symbol = np.where(hashes == END, 0, symbol).astype(np.uint16)
-        return symbol, count, symbol > self.own
-
-
-def _emission(table, symbols):
-    return table[symbols]
-
-
-def expected_counts(symbols, model):
-    """Expected counts of starts, moves and emissions over stretches (an array T x S of symbols)."""
+        symbol, count = classes + np.int32(1 + self.own), np.full(len(hashes), -1, np.int64)
+        lead = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, stop = self.first[lead], self.first[lead + 1]
+        open_ = np.flatnonzero(at < stop)
+        at, stop = at[open_], stop[open_]
+        while len(open_):
+            hit = self.hashes[at] == hashes[open_]
+            found, place = open_[hit], at[hit]
+            count[found] = self.counts[place]
+            own = self.symbols[place]
+            symbol[found[own > 0]] = own[own > 0]
+            at = at + 1
+            more = ~hit & (at < stop)
+            open_, at, stop = open_[more], at[more], stop[more]
+        end = hashes == END
+        symbol[end], count[end] = 0, self.ends
+        return symbol.astype("<u2"), count, symbol > self.own
+
+
+def expected_counts(symbols, begins, model):
+    """Expected counts of starts, moves and emissions over stretches.
+
+    ``symbols`` is an array time x stretch and ``begins`` marks where a text begins: there the
+    recursions start anew.  A stretch that begins inside a text starts from the start states.
+    """
     start, move, emit = model
     T, S = symbols.shape
     K = len(start)
+    ones = np.ones(K, np.float32)
     alpha, scale = np.empty((T, S, K), np.float32), np.empty((T, S, 1), np.float32)
     for t in range(T):
-        a = (start if t == 0 else alpha[t - 1] @ move) * emit[symbols[t]]
-        scale[t] = a.sum(1, keepdims=True)
-        alpha[t] = a / scale[t]
-    beta = np.ones((S, K), np.float32)
-    moves = np.zeros((K, K))
-    gamma = alpha  # overwritten from the end
+        if t:
+            a = alpha[t - 1] @ move
+            a[begins[t]] = start
+            a *= emit[symbols[t]]
+        else:
+            a = start * emit[symbols[t]]
+        scale[t, :, 0] = 1 / (a @ ones)
+        np.multiply(a, scale[t], out=alpha[t])
+    beta, moves, starts = np.ones((S, K), np.float32), np.zeros((K, K)), np.zeros(K)
     for t in range(T - 1, -1, -1):
-        own = alpha[t].copy()
-        gamma[t] = own * beta
         if t:
-            ahead = emit[symbols[t]] * beta / scale[t]
+            ahead = emit[symbols[t]]
+            ahead *= beta
+            ahead *= scale[t]
+            ahead[begins[t]] = 0
             moves += alpha[t - 1].T @ ahead
+            alpha[t] *= beta  # now the states' probabilities given the whole stretch
             beta = ahead @ move.T
-    flat, words = gamma.reshape(-1, K), symbols.reshape(-1)
+            beta[begins[t]] = 1
+        else:
+            alpha[t] *= beta
+        starts += alpha[t][begins[t]].sum(0)
+    flat, words = alpha.reshape(-1, K), symbols.reshape(-1)
     emits = np.stack([np.bincount(words, weights=flat[:, k], minlength=len(emit)) for k in range(K)], 1)
-    return gamma[0].sum(0, dtype=np.float64), moves * move, emits
+    return starts, moves * move, emits
 
 
 def _round(sequences, model, size, K):
@@ -141,20 +161,25 @@ def _round(sequences, model, size, K):
     shared = sequences.sparkSession.sparkContext.broadcast(model)
     length = K + K * K + size * K
 
+    def add(total, stream, T):
+        cut = stream.reshape(-1, T).T
+        begins = np.zeros(len(stream), bool)
+        begins[0] = True
+        begins[1:] = stream[:-1] == 0  # after an end
+        total += np.concatenate([f.ravel() for f in expected_counts(cut, begins.reshape(-1, T).T, shared.value)])
+
     def count(batches):
-        total = np.zeros(length)
+        total, rest = np.zeros(length), np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                column = batch.column("symbols").slice(at, 256)
-                parts = {}
-                for row in column:
-                    own = np.frombuffer(row.as_buffer(), "<u2")
-                    for a in range(0, len(own), STRETCH):
-                        parts.setdefault(min(STRETCH, len(own) - a), []).append(own[a:a + STRETCH])
-                for group in parts.values():
-                    for a in range(0, len(group), 2048):
-                        found = expected_counts(np.array(group[a:a + 2048], np.int64).T, shared.value)
-                        total += np.concatenate([f.ravel() for f in found])
+            data, _ = common.column_bytes(batch.column("symbols").cast(pa.large_binary()))
+            stream = np.concatenate([rest, data.view("<u2")])
+            for at in range(0, len(stream) - STRETCH + 1, STRETCH << 12):  # a text may go on in the next stretch
+                part = stream[at:at + (STRETCH << 12)]
+                part = part[:len(part) // STRETCH * STRETCH]
+                add(total, part.astype(np.int64), STRETCH)
+            rest = stream[len(stream) // STRETCH * STRETCH:].astype(np.int64)
+        if len(rest):
+            add(total, rest, len(rest))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(length, dtype=np.int32)), pa.array(total)], ["i", "x"])
 
     rows = common.map_batches(sequences, count, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
@@ -163,7 +188,7 @@ def _round(sequences, model, size, K):
     return out[:K], out[K:K + K * K].reshape(K, K), out[K + K * K:].reshape(size, K)
 
 
-def train(sequences, words: Words, rounds: int = 6, states: int = STATES, seed: int = 11):
+def train(sequences, words: Words, rounds: int = 3, states: int = STATES, seed: int = 11):
     """Start, move and emission probabilities (symbol x state)."""
     rng = np.random.default_rng(seed)
     start, move = np.full(states, 1 / states), rng.random((states, states)) + states * np.eye(states)
@@ -184,6 +209,7 @@ def train(sequences, words: Words, rounds: int = 6, states: int = STATES, seed:
 def forward(symbols, bounds, model):
     """log10 likelihood of each row's symbols, by the scaled forward recursion over all of it."""
     start, move, emit = model
+    ones = np.ones(len(start))
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     n, first = n[order], bounds[:-1][order]
@@ -191,15 +217,15 @@ def forward(symbols, bounds, model):
     total, alpha = np.zeros(len(n)), None
     for t, k in enumerate(live.tolist()):
         a = (np.broadcast_to(start, (k, len(start))) if t == 0 else alpha[:k] @ move) * emit[symbols[first[:k] + t]]
-        scale = a.sum(1)
+        scale = a @ ones
         total[:k] += np.log10(scale)
-        alpha = a / scale[:, None]
+        alpha = a * (1 / scale)[:, None]
     out = np.empty(len(n))
     out[order] = total
     return out
 
 
-def score(docs, held_out, own: int = 4096, cached: int = 1 << 17, rounds: int = 6):
+def score(docs, held_out, own: int = 4096, cached: int = 1 << 17, rounds: int = 3):
     """Scores of all documents by a model of those for which ``held_out`` is false."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out)
@@ -216,56 +242,53 @@ def score(docs, held_out, own: int = 4096, cached: int = 1 << 17, rounds: int =
     if own:
         mine = counts.join(spark.createDataFrame(top[["h"]].head(own)), "h").select("r", "c").toPandas()
         np.subtract.at(totals, mine["r"].to_numpy(), np.stack([mine["c"], np.ones(len(mine))], 1))
-    words = Words(top, own, totals.sum(1), sums["n"], sums["v"])
+    words = Words(top, own, totals.sum(1), sums["n"], sums["v"], end_count["c"] if end_count else 0)
     shared = spark.sparkContext.broadcast(words)
 
     def encode(batches):
-        for batch in common.text_slices(batches):
-            hashes, classes, bounds = _tokens(batch)
-            symbols = shared.value.look_up(hashes, classes)[0].astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([symbols[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["symbols"])
-
-    sequences = written(common.map_batches(docs.filter("NOT held_out").select("text"), encode, "symbols binary"), "symbols")
-    model = spark.sparkContext.broadcast(train(sequences, words, rounds))
-    known_ends = end_count["c"] if end_count else 0
-
-    def rows(batches):
+        """Symbols, all that needs no model, and the words whose counts are to be joined."""
         words, task, serial = shared.value, TaskContext.get().partitionId(), 0
         even, classed = np.log10(words.n + words.v + 1.0), np.log10(words.totals + 1.0)
         for batch in common.text_slices(batches):
             hashes, classes, bounds = _tokens(batch)
             symbols, count, rare = words.look_up(hashes, classes)
-            count[hashes == END] = known_ends
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             add = lambda x: np.bincount(row, weights=x, minlength=batch.num_rows)
-            have = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-            base = add(have) - np.diff(bounds) * even
-            own = forward(symbols, bounds, model.value) + add(np.where(rare, have - classed[classes], 0.0))
-            tail_h, tail_n = [], []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                u, n = np.unique(hashes[a:b][count[a:b] < 0], return_counts=True)
-                tail_h.append(u.view(np.int64))
-                tail_n.append(n.astype(np.int32))
+            have = np.log10(np.maximum(count, 0) + 1.0)
+            tails = [np.unique(hashes[a:b][count[a:b] < 0], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
             ids = (task << 40) + serial + np.arange(batch.num_rows)
             serial += batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(ids), pa.array(np.diff(bounds)),
-                 pa.array(add(count > 0).astype(np.int64)), pa.array(base), pa.array(own),
-                 pa.array(tail_h, pa.list_(pa.int64())), pa.array(tail_n, pa.list_(pa.int32()))],
-                ["doc_id", "held_out", "row", "n_tokens", "known", "base", "own", "tail_h", "tail_n"])
+                 pa.array(add(count > 0).astype(np.int64)), pa.array(add(have) - np.diff(bounds) * even),
+                 pa.array(add(np.where(rare, have - classed[classes], 0.0))),
+                 pa.array([symbols[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                 pa.array([u.view(np.int64) for u, _ in tails], pa.list_(pa.int64())),
+                 pa.array([n.astype(np.int32) for _, n in tails], pa.list_(pa.int32()))],
+                ["doc_id", "held_out", "row", "n_tokens", "known", "base", "inner", "symbols", "tail_h", "tail_n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = written(common.map_batches(docs, rows, (
-        f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, own double, "
-        "tail_h array<bigint>, tail_n array<int>")), "scored")
-    tails = scored.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select(
+    encoded = written(common.map_batches(docs, encode, (
+        f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, inner double, "
+        "symbols binary, tail_h array<bigint>, tail_n array<int>")), "encoded")
+    model = spark.sparkContext.broadcast(train(encoded.filter("NOT held_out").select("symbols"), words, rounds))
+
+    def run(batches):
+        for batch in common.text_slices(batches, "symbols", TOGETHER):
+            data, offsets = common.column_bytes(batch.column("symbols"))
+            own = forward(data.view("<u2"), offsets // 2, model.value) + np.asarray(batch.column("inner"))
+            names = [n for n in batch.schema.names if n not in ("symbols", "inner")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(own)], [*names, "own"])
+
+    scored = common.map_batches(encoded.drop("tail_h", "tail_n"), run, (
+        f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, own double"))
+    tails = encoded.select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select(
         "row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
     # A word that training has not seen has count 0 and adds log10(1) = 0: an inner join is enough.
     more = (tails.join(counts.select("h", "c"), "h").groupBy("row")
             .agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("gain")))
     gain = F.coalesce("gain", F.lit(0.0))
-    return scored.drop("tail_h", "tail_n").join(more, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(sums["n"])).cast("bigint").alias("train_tokens"), (F.col("base") + gain).alias("base_score"),
         (F.col("own") + gain).alias("score"))

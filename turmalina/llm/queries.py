@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    best_fit_packing, decontamination, hilbert_sharding, language_id, nearest_neighbours, ngram_jaccard_join,
-    packed_matrices, url_filter,
+    best_fit_packing, decontamination, hidden_markov, hilbert_sharding, language_id, nearest_neighbours,
+    ngram_jaccard_join, packed_matrices, pii, url_filter,
 )
 from .common import held_out, table
 
@@ -21,6 +21,15 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_contextual_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.learn(docs))
+
+
+def op4_hidden_markov_scoring(spark, sf_dir):
+    return hidden_markov.score(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op5_packed_matrices(spark, sf_dir):
     return packed_matrices.matrices(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,7 +57,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_ngram_jaccard_join, op5_packed_matrices, op6_hilbert_sharding,
-    op7_benchmark_decontamination, op8_nearest_neighbours, op9_url_filter, op10_language_id,
+    op1_best_fit_packing, op2_ngram_jaccard_join, op3_contextual_pii, op4_hidden_markov_scoring,
+    op5_packed_matrices, op6_hilbert_sharding, op7_benchmark_decontamination, op8_nearest_neighbours, op9_url_filter, op10_language_id,
 )}
 ORACLE = {}
