@@ -303,7 +303,8 @@ def test_nearest_neighbours(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame([(10_000, None), (10_020, [0.0] * 64), (10_040, [float("nan")] + [0.1] * 63), (None, [0.1] * 64),
                                  (10_060, [1.0, 2.0]), (10_080, [None] * 64), (10_100, [float("inf")] * 64)], "vec_id bigint, embedding array<float>")
-    copies = vectors.filter("vec_id = 40").select(F.explode(F.sequence(F.lit(20_000), F.lit(20_039))).cast("long").alias("vec_id"), "embedding")
+    copies = vectors.filter("vec_id = 40").select(
+        F.explode(F.sequence(F.lit(20_000).cast("long"), F.lit(20_039).cast("long"))).alias("vec_id"), "embedding")
     table = vectors.union(odd).union(copies).union(vectors.filter("vec_id = 3"))
     got = nearest_neighbours.nearest(table, table.filter("vec_id % 20 = 0"), target=0.97).collect()
     good = vectors.union(copies).collect()
