@@ -136,7 +136,9 @@ def _search(batches, k):
                 place, best = {}, np.zeros((0, k))
             at = np.array([place.setdefault(n, len(place)) for n in queries.tolist()])
             if len(place) > len(best):
-                best = np.vstack([best, np.full((len(place), k), -np.inf)])
+                best = np.vstack([best, np.full((len(place) - len(best), k), -np.inf)])
+            floors = np.asarray(batch.column("floors").slice(i, 1).flatten())
+            best[at] = np.maximum(best[at], floors[:, None])  # k scores of at least this are known
             dots = q @ x.T
             top = -np.partition(-np.hstack([best[at], dots]), k - 1, axis=1)[:, :k]
             best[at] = top
@@ -147,12 +149,12 @@ def _search(batches, k):
 
 
 def _pairs(wanted, blocks, k, count):
-    """Rows (q, e, score) of the queries against the blocks they visit: ``wanted`` has q, v and
-    the block's leaf; the ``count`` queries are taken in chunks of bounded size."""
+    """Rows (q, e, score) of the queries against the blocks they visit: ``wanted`` has q, v,
+    the block's leaf and a score that ``k`` known entries reach (``floor``); the ``count`` queries are taken in chunks of bounded size."""
     chunks = (wanted.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-count // CHUNK)))))
-              .groupBy("leaf", "chunk").agg(F.sort_array(F.collect_list(F.struct("q", "v"))).alias("z"))
-              .select("leaf", F.col("z.q").alias("queries"), F.col("z.v").alias("qs")))
-    joined = chunks.join(blocks, "leaf").select("queries", "qs", "entries", "vs")
+              .groupBy("leaf", "chunk").agg(F.collect_list(F.struct("q", "v", "floor")).alias("z"))
+              .select("leaf", F.col("z.q").alias("queries"), F.col("z.v").alias("qs"), F.col("z.floor").alias("floors")))
+    joined = chunks.join(blocks, "leaf").select("queries", "qs", "floors", "entries", "vs")
     return common.map_batches(joined, lambda batches: _search(batches, k), "q bigint, e bigint, score double")
 
 
@@ -208,10 +210,17 @@ def nearest(vectors, queries, k: int = 20, key: str = "vec_id", value: str = "em
     points = written(asked.select("h", "v").distinct().withColumn("q", F.monotonically_increasing_id()), "points")
     probe = points.orderBy(F.xxhash64("h")).limit(probes).select("q", "v")
     count = _calibrated(visits(total)(probe), blocks, k, total, target, probes)
-    found = _pairs(visits(count)(points.select("q", "v")).drop("turn"), blocks, k + 1, points.count())
     # The best k + 1 entries hold the best k other rows; an entry with many ids may fill it alone.
     cut = Window.partitionBy("q").orderBy(F.desc("score"))
-    found = written(found.withColumn("r", F.rank().over(cut)).filter(F.col("r") <= k + 1).select("q", "e", "score"), "found")
+    best = lambda df: df.withColumn("r", F.rank().over(cut)).filter(F.col("r") <= k + 1)
+    asks, walked = points.count(), written(visits(count)(points.select("q", "v")), "visits")
+    early = -(-count // 10)  # the nearest leaves show what the others must reach
+    wanted = walked.filter(F.col("turn") < early).drop("turn").withColumn("floor", F.lit(float("-inf")))
+    found = written(best(_pairs(wanted, blocks, k + 1, asks)).drop("r"), "near")
+    floors = found.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("floor")).select(
+        "q", F.when(F.col("n") > k, F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    wanted = walked.filter(F.col("turn") >= early).drop("turn").join(floors, "q", "left").fillna(float("-inf"), "floor")
+    found = written(best(found.union(_pairs(wanted, blocks, k + 1, asks))).select("q", "e", "score"), "found")
     hits = found.join(ids.select("e", "ids"), "e").select("q", "score", F.explode("ids").alias("vec_id"))
     named = asked.join(points, ["h", "v"]).select("q", "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -222,7 +231,7 @@ def nearest(vectors, queries, k: int = 20, key: str = "vec_id", value: str = "em
 def _calibrated(walked, blocks, k, total, target, probes):
     """The leaf visits at which the probes' mean recall against all rows reaches the target."""
     walked = written(walked, "walked")
-    seen = _pairs(walked.drop("turn"), blocks, k, probes)  # all leaves: the exact answer
+    seen = _pairs(walked.drop("turn").withColumn("floor", F.lit(float("-inf"))), blocks, k, probes)  # all leaves: the exact answer
     best = Window.partitionBy("q").orderBy(F.desc("score"), "e")
     exact = seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("q", "e")
     leaf_of = blocks.select("leaf", F.explode("entries").alias("e"))
