@@ -26,10 +26,17 @@ from turmalina.sources.tables import conform, read_panel, read_table, union_by_n
 
 
 def read_feeds(spark, folder, fmt="parquet"):
-    """Every feed of the folder, conformed to its schema."""
-    return {name: conform(read_table(spark, os.path.join(folder, name), None if fmt == "parquet"
-                                     else schema, fmt), schema)
-            for name, schema in FEED_SCHEMAS.items() if name != "itinerary"}
+    """Every feed of the folder, conformed to its schema.
+
+    The files of a Parquet feed may differ in columns; a column that no file has is null.
+    """
+    feeds = {}
+    for name, schema in FEED_SCHEMAS.items():
+        if name == "itinerary":
+            continue
+        options = {"mergeSchema": "true"} if fmt == "parquet" else {"schema": schema}
+        feeds[name] = conform(read_table(spark, os.path.join(folder, name), fmt=fmt, **options), schema)
+    return feeds
 
 
 def panel_from_feeds(feeds, ready=None, dedupe=False):

@@ -431,7 +431,7 @@ def features(spark, sf):
     return rows.select(
         F.col("ANO").cast("int").alias("ANO"), "CURSO", "UNIDADE", F.size("v").alias("TAMANHO"),
         F.array_position(F.slice("v", 7, units), 1.0).cast("int").alias("POS_UNIDADE"),
-        F.array_position(F.slice("v", 7 + units, 100000), 1.0).cast("int").alias("POS_CURSO"),
+        F.array_position(F.slice("v", F.lit(7 + units), F.size("v")), 1.0).cast("int").alias("POS_CURSO"),
         F.round(F.col("v")[3] + 0.000001, 2).alias("SALARIO_MEDIO"))
 
 

@@ -101,8 +101,11 @@ def load_model(path: str) -> PipelineModel:
 
 
 def work_path(spark, name: str) -> str:
-    """A new path in the shared folder the cluster names; a local one where it names none."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; only a local session may go
+    without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if shared:
         return f"{shared.rstrip('/')}/turmalina/{name}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix="turmalina-"), name)
