@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from turmalina.functions import fixed_values as fv
 from turmalina.plans.scenario import future_matrix
 from turmalina.plans.scoring import score, with_features
-from turmalina.plans.training import BandModel, TrainingOptions, evaluate, fit_features, train
+from turmalina.plans.training import (
+    BandModel, TrainingOptions, evaluate, fit_features, one_hot_slot, train)
+from turmalina.schemas import NUMERIC
 
 SMALL = TrainingOptions(rounds=4, rate=0.4, depth=3)
 PANEL = ("ANO int, CURSO string, UNIDADE string, MAT_PAG long, QTD_CONC long, QTD_EMPRESAS long, "
@@ -43,6 +45,28 @@ def test_encoding(spark, panel):
         ([0, 0], [0] * 5), ([1, 0], [0, 0, 0, 0, 1]), ([0, 1], [1, 0, 0, 0, 0]), ([0, 0], [0] * 5))]
 
 
+def test_slots_come_from_the_index_at_any_number_of_categories(spark):
+    """More categories than any fixed slot limit; no row is made as wide as their list."""
+    rows = spark.range(100_050).select(
+        F.lpad(F.col("id").cast("string"), 7, "0").alias("CURSO"), F.lit("U").alias("UNIDADE"))
+    stages = fit_features(rows.withColumns({c: F.lit(0.0) for c in NUMERIC}),
+                          TrainingOptions())
+    asked = spark.createDataFrame([(0, "0000000"), (1, "0000001"), (100_049, "0100049"), (0, "new")],
+                                  "wanted int, CURSO string").withColumn("UNIDADE", F.lit("U"))
+    coded = PipelineModel(stages[:1]).transform(asked)
+    assert all(r[0] == r[1] for r in coded.select("wanted", one_hot_slot(stages, "CURSO")).collect())
+
+
+def test_slot_is_where_the_vector_has_its_one(panel):
+    df = with_features(panel)
+    stages = fit_features(df, TrainingOptions())
+    units = len(stages[0].labelsArray[0]) - 1
+    for vector, unit, course in PipelineModel(stages).transform(df).select(
+            vector_to_array("features"), one_hot_slot(stages, "UNIDADE"), one_hot_slot(stages, "CURSO")).collect():
+        assert [i + 1 for i, x in enumerate(vector[6:6 + units]) if x] == [unit] * (unit > 0)
+        assert [i + 1 for i, x in enumerate(vector[6 + units:]) if x] == [course] * (course > 0)
+
+
 def test_one_category_needs_no_slot(spark, panel):
     df = with_features(panel.filter("UNIDADE = 'U0'"))
     stages = fit_features(df, TrainingOptions())
@@ -76,9 +100,10 @@ def test_save_and_load(model, panel, tmp_path):
     model.save(str(tmp_path / "m"))
     loaded = BandModel.load(str(tmp_path / "m"))
     assert loaded.classes == model.classes and loaded.numeric == model.numeric
-    before = {tuple(r[:3]): r.PROB_MAX for r in score(panel, model).select("ANO", "CURSO", "QTD_CONC", "PROB_MAX").collect()}
-    after = {tuple(r[:3]): r.PROB_MAX for r in score(panel, loaded).select("ANO", "CURSO", "QTD_CONC", "PROB_MAX").collect()}
-    assert before.keys() == after.keys()
+    keys = ["ANO", "CURSO", "UNIDADE", "QTD_CONC"]
+    before, after = ({tuple(r[:4]): r.PROBS for r in score(panel, m).select(*keys, "PROBS").collect()}
+                     for m in (model, loaded))
+    assert before == after
 
 
 def test_forest_option(panel):

@@ -1,7 +1,7 @@
 """The three steps as jobs: build the panel, train the classifier, write the analysis.
 
     python -m turmalina.app panel   FEEDS_DIR PANEL_DIR
-    python -m turmalina.app train   PANEL_DIR MODEL_DIR [--rounds 100]
+    python -m turmalina.app train   PANEL_DIR MODEL_DIR [--rounds 1000] [--rate 0.006]
     python -m turmalina.app analyse PANEL_DIR MODEL_DIR OUT_DIR [--year 2026]
 
 ``FEEDS_DIR`` holds one table per feed, named as in ``schemas.FEED_SCHEMAS``.  A feed that
@@ -91,6 +91,7 @@ def main(argv=None):
             step.add_argument("--dedupe", action="store_true")
         if name == "train":
             step.add_argument("--rounds", type=int, default=TrainingOptions.rounds)
+            step.add_argument("--rate", type=float, default=TrainingOptions.rate)
             step.add_argument("--learner", default=TrainingOptions.learner)
         if name == "analyse":
             step.add_argument("--year", type=int, default=fv.FUTURE_YEAR)
@@ -105,7 +106,7 @@ def main(argv=None):
                     args.panel)
     elif args.step == "train":
         train(read_panel(spark, args.panel),
-              TrainingOptions(rounds=args.rounds, learner=args.learner)).save(args.model)
+              TrainingOptions(rounds=args.rounds, rate=args.rate, learner=args.learner)).save(args.model)
     else:
         write_analysis(read_panel(spark, args.panel), BandModel.load(args.model), args.out, args.year)
 

@@ -35,15 +35,18 @@ def arms_sql(column, arms):
     return f"CASE {whens} ELSE {column} END"
 
 
+COURSE = "p_name || ' ' || (p_partkey // 200)::VARCHAR"
+EDITION = "p_name || ' avulso ' || p_partkey::VARCHAR"
+LINE_COURSE = f"CASE WHEN l_quantity = 50 THEN {EDITION} ELSE {COURSE} END"
 SCRAPED, SCRAPED_NAME = rules_sql(
     "SELECT *, trim(regexp_replace(regexp_replace(upper(s_name), '^\\d+', ''), '[-–/]', ' ', 'g')) AS nome "
     "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey "
-    "JOIN muni ON s_nationkey = nk WHERE p_size = 50", "nome", NETWORK_RULES)
+    "JOIN muni ON s_nationkey = nk", "nome", NETWORK_RULES)
 
 FEEDS = f"""
 muni AS (SELECT n_name, upper(r_name) AS r_name, n_nationkey AS nk
          FROM nation JOIN region ON n_regionkey = r_regionkey),
-wide AS (SELECT *, year(o_orderdate)::INTEGER AS y, upper(p_name) AS course,
+wide AS (SELECT *, year(o_orderdate)::INTEGER AS y, {LINE_COURSE} AS line_course, upper(line_course) AS course,
                 ((ascii(p_type) * 100 + length(p_type))::VARCHAR || '05') AS cbo
          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
          JOIN part ON l_partkey = p_partkey JOIN muni ON c_nationkey = nk),
@@ -73,13 +76,13 @@ flow AS (SELECT ANO, r_name AS UNIDADE, CO_CBO, CO_CBO || r_name AS CBO_UNIDADE,
          FROM flow0 GROUP BY ALL),
 census0 AS (SELECT y AS ANO, course AS CURSO, nk, r_name AS UNIDADE, p_brand,
               sum(l_quantity::INTEGER + l_linenumber + CASE WHEN l_linenumber < 7 THEN 0 END) AS m
-            FROM wide WHERE p_size <= 3 AND l_linestatus = 'O' AND p_brand NOT LIKE '%SENAI%'
+            FROM wide WHERE l_linestatus = 'O' AND p_brand NOT LIKE '%SENAI%'
               AND course NOT LIKE '%MAGISTÉRIO%' GROUP BY ALL HAVING m > 0),
 census AS (SELECT ANO, CURSO, UNIDADE, 1::INTEGER AS QTD_CONC, trunc(avg(m))::INTEGER AS QTD_MAT_CONC
            FROM (SELECT *, {arms_sql("p_brand", BRAND_ARMS)} AS inst FROM census0)
            GROUP BY ANO, CURSO, UNIDADE, inst),
 scraped AS (SELECT CASE WHEN year(l_shipdate) = 2002 THEN 2001 ELSE year(l_shipdate) END::INTEGER AS ANO,
-              upper(p_name) AS CURSO, r_name AS UNIDADE, count(DISTINCT {SCRAPED_NAME})::INTEGER AS QTD_CONC,
+              upper({LINE_COURSE}) AS CURSO, r_name AS UNIDADE, count(DISTINCT {SCRAPED_NAME})::INTEGER AS QTD_CONC,
               0::INTEGER AS QTD_MAT_CONC
             FROM ({SCRAPED}) GROUP BY ALL),
 conc AS (SELECT * FROM census UNION ALL SELECT * FROM scraped),
@@ -89,12 +92,12 @@ aid AS (SELECT ANO::INTEGER AS ANO, UNIDADE, sum(n)::BIGINT AS QTD_FAMILIAS, sum
               FROM customer JOIN muni ON c_nationkey = nk GROUP BY nk, r_name), range(1995, 2002) t(ANO)
         GROUP BY ALL),
 cat AS (SELECT DISTINCT ((ascii(p_type) * 100 + length(p_type))::VARCHAR || '05') AS CBO,
-          upper(p_name) AS CURSO FROM part WHERE p_size <= 3)"""
+          upper({COURSE}) AS CURSO FROM part)"""
 
 ENROL = """
-enr AS (SELECT y AS ANO, r_name AS UNIDADE, course AS CURSO, count(*)::BIGINT AS MATRICULAS
-        FROM wide WHERE l_returnflag = 'R' AND y <= 2025 {extra} GROUP BY ALL)"""
-SPARSE = "AND l_quantity >= 48 AND y >= 2000"
+enr AS (SELECT y AS ANO, r_name AS UNIDADE, {course} AS CURSO, count(*)::BIGINT AS MATRICULAS
+        FROM wide WHERE y <= 2025 GROUP BY ALL)"""
+SPARSE = f"upper({EDITION})"
 BAND = ("CASE WHEN MAT_PAG <= 20 THEN 'Abaixo de 21' WHEN MAT_PAG <= 40 THEN 'Entre 21 e 40' "
         "ELSE 'Acima de 40' END AS FAIXA_MAT")
 PANEL = f"""
@@ -133,11 +136,11 @@ panel AS (SELECT *, {BAND} FROM (
 
 
 def feeds(select):
-    return f"WITH {FEEDS}, {ENROL.format(extra='')} {select}"
+    return f"WITH {FEEDS}, {ENROL.format(course='course')} {select}"
 
 
 def on_panel(select, sparse=False, more="", panel=PANEL):
-    return f"WITH {FEEDS}, {ENROL.format(extra=SPARSE if sparse else '')}, {panel}{more} {select}"
+    return f"WITH {FEEDS}, {ENROL.format(course=SPARSE if sparse else 'course')}, {panel}{more} {select}"
 
 
 PANEL_OUT = ("SELECT * REPLACE (round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO, round(TOTAL_REPASSE + 0.000001, 2) AS "
@@ -284,17 +287,23 @@ def named(condition):
             f"ORDER BY abs(IMPACTO) DESC, VARIAVEL LIMIT 2))")
 
 
-RISKS = named("IMPACTO < -0.005")
 MOVED = named("abs(IMPACTO) > 0.01")
 PERCENT = "pm * 100"
-EXEC_REAL = f"""SELECT UNIDADE, CURSO,
+
+
+def executive(floor, points):
+    """Status of the real record; ``points`` are percentage points."""
+    risks = named(f"IMPACTO < -{points / 100}")
+    return f"""SELECT UNIDADE, CURSO,
   CASE WHEN band = 'Entre 21 e 40' THEN {filled(fv.TEXT_MID, PERCENT)}
-       WHEN band = 'Acima de 40' AND pm >= 0.5 AND r IS NOT NULL THEN {filled(fv.TEXT_HIGH_RISK, PERCENT, 'r')}
-       WHEN band = 'Acima de 40' AND pm >= 0.5 THEN {filled(fv.TEXT_HIGH, PERCENT)}
+       WHEN band = 'Acima de 40' AND pm >= {floor} AND r IS NOT NULL THEN {filled(fv.TEXT_HIGH_RISK, PERCENT, 'r')}
+       WHEN band = 'Acima de 40' AND pm >= {floor} THEN {filled(fv.TEXT_HIGH, PERCENT)}
        ELSE {lit(fv.TEXT_BALANCED)} END AS TEXTO,
-  CASE WHEN band = 'Entre 21 e 40' THEN 'info' WHEN band = 'Acima de 40' AND pm >= 0.5 THEN 'success'
+  CASE WHEN band = 'Entre 21 e 40' THEN 'info' WHEN band = 'Acima de 40' AND pm >= {floor} THEN 'success'
        ELSE 'info' END AS NIVEL
-FROM (SELECT *, {RISKS} AS r FROM imp i)"""
+FROM (SELECT *, {risks} AS r FROM imp i)"""
+
+
 EXEC_WHATIF = f"""SELECT UNIDADE, CURSO,
   CASE WHEN r IS NULL THEN {lit(fv.TEXT_WHATIF_STABLE)} ELSE {filled(fv.TEXT_WHATIF_SHIFT, 'band', 'r')} END AS TEXTO,
   'info' AS NIVEL FROM (SELECT *, {MOVED} AS r FROM imp i)"""
@@ -306,6 +315,9 @@ ADVICE = "CASE " + " ".join(
 PARTS, PARTS_NAME = rules_sql("SELECT p_partkey, upper(p_name) AS n FROM part", "n", PART_RULES)
 CODE = r"regexp_extract(html, '(\d{4}\s*-\s*\d{2}|\d{6}|\d{4})', 1)"
 
+SPLIT = ("SELECT *, row_number() OVER (PARTITION BY FAIXA_MAT ORDER BY md5('123|' || ANO || '|' || CURSO || '|' || "
+         "UNIDADE)) <= round(0.2 * count(*) OVER (PARTITION BY FAIXA_MAT)) AS E_TESTE FROM panel")
+
 ORACLE = {
     "key_normalise": "SELECT doc_id, upper(regexp_replace(strip_accents(coalesce(text, '')), "
                      "'[^0-9A-Za-z]+', '', 'g')) AS CHAVE FROM documents",
@@ -350,32 +362,32 @@ ORACLE = {
     "census_rows": feeds(
         "SELECT y AS ANO, CASE WHEN l_linenumber = 4 THEN 'PRIVADA' ELSE 'PÚBLICA' END AS DEPEND_ADM, "
         "course AS CURSO, sum(l_quantity::INTEGER + l_linenumber + CASE WHEN l_linenumber < 7 THEN 0 END)::BIGINT "
-        "AS QTD_MAT FROM wide WHERE p_size <= 3 AND l_linestatus = 'O' GROUP BY ALL"),
+        "AS QTD_MAT FROM wide WHERE l_linestatus = 'O' GROUP BY ALL"),
     "census_competitors": feeds("SELECT * FROM census"),
     "scraped_offers": feeds(
         "SELECT DISTINCT s_name AS UNIDADE_DE_ENSINO, CASE WHEN l_linestatus = 'O' THEN 'PRES' ELSE 'EAD' END AS "
-        "MODALIDADE, upper(p_name) AS CURSO, n_name AS MUNICIPIO, CASE WHEN year(l_shipdate) = 2002 THEN 2001 ELSE "
+        f"MODALIDADE, upper({LINE_COURSE}) AS CURSO, n_name AS MUNICIPIO, CASE WHEN year(l_shipdate) = 2002 THEN 2001 ELSE "
         "year(l_shipdate) END::INTEGER AS ANO FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON "
-        "l_suppkey = s_suppkey JOIN muni ON s_nationkey = nk WHERE p_size = 50"),
+        "l_suppkey = s_suppkey JOIN muni ON s_nationkey = nk"),
     "scraped_competitors": feeds("SELECT * FROM scraped"),
     "competitors_union": feeds("SELECT * FROM conc"),
     "benefit_by_unit": feeds("SELECT ANO, UNIDADE, QTD_FAMILIAS, round(TOTAL_REPASSE + 0.000001, 2) AS TOTAL_REPASSE, "
                              "round(VLR_MEDIO_BENEFICIO + 0.000001, 2) AS VLR_MEDIO_BENEFICIO FROM aid"),
     "enrolment_rows": feeds(
-        "SELECT y AS ANO, r_name AS UNIDADE, 'Técnico em ' || p_name AS CURSO, n_name AS CIDADE, "
+        "SELECT y AS ANO, r_name AS UNIDADE, 'Técnico em ' || line_course AS CURSO, n_name AS CIDADE, "
         "sha256(o_custkey::VARCHAR || '|' || o_orderkey::VARCHAR) AS CPF_E_RA, CASE WHEN p_size <= 14 THEN "
         "'Menor de 14 anos' WHEN p_size <= 17 THEN '14 a 17' WHEN p_size <= 24 THEN '18 a 24' WHEN p_size <= 30 "
         "THEN '25 a 30' WHEN p_size <= 39 THEN '31 a 39' ELSE '40 a 50' END AS FAIXA_ETARIA, "
-        "1::INTEGER AS MATRICULAS FROM wide WHERE l_returnflag = 'R'"),
+        "1::INTEGER AS MATRICULAS FROM wide"),
     "enrolments": feeds("SELECT * FROM enr"),
     "itinerary_list": "SELECT DISTINCT upper(p_name) AS \"Nome do Item\", 'CHP' AS MODALIDADE FROM part "
                       "WHERE p_size % 3 <> 0",
     "course_occupation": feeds("SELECT CBO, CURSO, 'CHP' AS MODALIDADE FROM cat"),
     "course_occupation_all": feeds(
         "SELECT CBO, CURSO, 'CHP' AS MODALIDADE FROM cat UNION SELECT CBO, u.i, u.c FROM cat JOIN ("
-        "SELECT upper(p_name) AS CURSO, unnest([{'i': 'Especialização Técnica em ' || p_brand, 'c': 'POSTEC'}, "
+        f"SELECT upper({COURSE}) AS CURSO, unnest([{{'i': 'Especialização Técnica em ' || p_brand, 'c': 'POSTEC'}}, "
         "{'i': 'Bacharelado em ' || p_type, 'c': 'GRAD'}, {'i': 'Bacharelado em Negócios da Moda', 'c': 'GRAD'}, "
-        "{'i': 'Oficina de ' || p_brand, 'c': 'FIC'}]) AS u FROM part WHERE p_size <= 3) "
+        "{'i': 'Oficina de ' || p_brand, 'c': 'FIC'}]) AS u FROM part) "
         "USING (CURSO)"),
     "panel": on_panel(PANEL_OUT),
     "panel_dedupe": on_panel(PANEL_OUT, panel=DEDUPE),
@@ -385,14 +397,11 @@ ORACLE = {
                              "AS PARTE FROM panel GROUP BY FAIXA_MAT"),
     "class_weights": on_panel("SELECT FAIXA_MAT, count(*)::BIGINT AS N, round((SELECT count(*) / count(DISTINCT "
                               "FAIXA_MAT) FROM panel) / count(*), 6) AS PESO FROM panel GROUP BY FAIXA_MAT"),
-    "stratified_split": on_panel(
-        "SELECT ANO, CURSO, UNIDADE, row_number() OVER (PARTITION BY FAIXA_MAT ORDER BY md5('123|' || ANO || '|' || "
-        "CURSO || '|' || UNIDADE)) <= round(0.2 * count(*) OVER (PARTITION BY FAIXA_MAT)) AS E_TESTE FROM panel"),
+    "stratified_split": on_panel(f"SELECT ANO, CURSO, UNIDADE, E_TESTE FROM ({SPLIT})"),
     "latest_per_unit": on_panel(f"SELECT {LATEST} FROM ({last('UNIDADE')})"),
     "latest_per_pair": on_panel(f"SELECT {LATEST} FROM ({last('UNIDADE, CURSO')})"),
     "latest_per_course": on_panel(f"SELECT {LATEST} FROM ({last('CURSO')})"),
-    "rows_latest_year": on_panel(f"SELECT {LATEST} FROM panel QUALIFY ANO = max(ANO) OVER (PARTITION BY UNIDADE)",
-                                 sparse=True),
+    "rows_latest_year": on_panel(f"SELECT {LATEST} FROM panel QUALIFY ANO = max(ANO) OVER (PARTITION BY UNIDADE)"),
     "first_per_course": on_panel(
         "SELECT CURSO, MAT_PAG FROM (SELECT *, (SELECT min(struct_pack(a := q.ANO, b := q.CURSO)) FROM panel q "
         "WHERE q.UNIDADE = panel.UNIDADE) AS ap FROM panel) QUALIFY row_number() OVER (PARTITION BY CURSO "
@@ -439,7 +448,8 @@ ORACLE = {
                                     f"({scored('SELECT * FROM panel')})"),
     "recommendation_text": on_panel(f"SELECT ANO, CURSO, UNIDADE, {ADVICE} AS CONSELHO FROM "
                                     f"({scored('SELECT * FROM panel')})"),
-    "executive_real": on_panel(EXEC_REAL, more=long_impacts(EDITED_PAIR, "UNIDADE, CURSO")),
+    "executive_real": on_panel(executive(0.5, 0.5), more=long_impacts(EDITED_PAIR, "UNIDADE, CURSO")),
+    "executive_default": on_panel(executive(0.69, 1.0), more=long_impacts(EDITED_PAIR, "UNIDADE, CURSO")),
     "executive_whatif": on_panel(EXEC_WHATIF, more=long_impacts(EDITED_PAIR, "UNIDADE, CURSO")),
     "recommendation_table": on_panel(
         f"""SELECT f.CURSO AS "Curso Técnico", max(cellv) FILTER (CENARIO = 'base') AS Base,
@@ -448,10 +458,17 @@ ORACLE = {
         FROM (SELECT *, {cell()} AS cellv FROM ({scored('SELECT * FROM future')}) WHERE UNIDADE = (
                 SELECT UNIDADE FROM panel WHERE UNIDADE IN ('ASIA', 'EUROPE') ORDER BY ANO, CURSO, UNIDADE LIMIT 1)) f
         LEFT JOIN ({courses(EDITED_UNIT + " WHERE UNIDADE = 'ASIA'", "live", "'GLOBAL'")}) s ON s.CURSO = f.CURSO
-        GROUP BY f.CURSO ORDER BY f.CURSO""", sparse=True, more=FUTURE),
+        GROUP BY f.CURSO ORDER BY f.CURSO""", more=FUTURE),
     "features": on_panel(
         "SELECT ANO, CURSO, UNIDADE, (6 + (SELECT count(DISTINCT UNIDADE) + count(DISTINCT CURSO) - 2 FROM panel))"
         "::INTEGER AS TAMANHO, (dense_rank() OVER (ORDER BY UNIDADE) - 1)::INTEGER AS POS_UNIDADE, "
         "(dense_rank() OVER (ORDER BY CURSO) - 1)::INTEGER AS POS_CURSO, round(SALARIO_MEDIO + 0.000001, 2) AS SALARIO_MEDIO "
         "FROM panel"),
+    "train_and_score": on_panel("SELECT ANO, CURSO, UNIDADE, FAIXA_MAT, true AS SOMA_UM, true AS DOMINANTE_MAIOR "
+                                "FROM panel"),
+    "evaluate": on_panel(
+        f"SELECT count(*)::BIGINT AS N_TESTE, round(avg(-ln(s)), 6) AS LOGLOSS_PARTES, true AS MELHOR FROM ({SPLIT}) t "
+        f"JOIN (SELECT FAIXA_MAT, count(*) / sum(count(*)) OVER () AS s FROM ({SPLIT}) WHERE NOT E_TESTE "
+        "GROUP BY FAIXA_MAT) USING (FAIXA_MAT) WHERE E_TESTE"),
+    "model_roundtrip": on_panel("SELECT count(*)::BIGINT AS N, 0::BIGINT AS DIFERENTES FROM panel"),
 }

@@ -1,7 +1,11 @@
 """Feeds derived from the driver's sales tables.
 
-Roles: nation = municipality, region = training unit, part name = course, part type =
-occupation, brand or supplier = competing institution, returned line = enrolment.
+Roles: nation = municipality, region = training unit, parts of a name = course, part type =
+occupation, brand or supplier = competing institution, line = enrolment.
+
+The courses grow with the parts: parts of one name whose keys lie in the same 200 are a course,
+so that a course has about as many lines at every scale.  A line of 50 pieces belongs to the
+one-off edition of its part, which few units offer and which the catalogue doesn't know.
 """
 
 from functools import lru_cache
@@ -56,6 +60,21 @@ def table(spark, sf_dir, name):
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def course():
+    """Course name of a part."""
+    return F.concat("p_name", F.lit(" "), F.expr("p_partkey div 200").cast("string"))
+
+
+def edition():
+    """Name of the one-off edition of a part."""
+    return F.concat("p_name", F.lit(" avulso "), F.col("p_partkey").cast("string"))
+
+
+def line_course():
+    """Course name of a line."""
+    return F.when(F.col("l_quantity") == 50, edition()).otherwise(course())
+
+
 def occupation(c):
     """Six-digit code of a part type: first letter, length, 05."""
     return F.concat((F.ascii(c) * 100 + F.length(c)).cast("string"), F.lit("05"))
@@ -92,13 +111,13 @@ class Feeds:
             base = self._with_part(self._lines()).select(
                 "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag",
                 "l_linestatus", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-                "o_orderpriority", "c_nationkey", "p_name", "p_brand", "p_type", "p_size")
+                "o_orderpriority", "c_nationkey", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
             path = written(self.spark, self.sf_dir, "sales",
                            lambda to: base.write.parquet(to))
             self._written = self.spark.read.schema(base.schema).parquet(path)
 
     def _with_part(self, df):
-        return df.join(self.t("part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+        return df.withColumnRenamed("l_partkey", "p_partkey").join(self.t("part"), "p_partkey")
 
     def municipality_unit(self):
         return self.t("nation").join(
@@ -113,9 +132,8 @@ class Feeds:
             F.col("n_name").alias("NO_MUNICIPIO"))
 
     def enrolment_cube(self, sparse=False):
-        lines = self._sales().filter("l_returnflag = 'R'")
-        if sparse:
-            lines = lines.filter("l_quantity >= 48 AND year(o_orderdate) >= 2000")
+        """One row per line; ``sparse`` makes every part a course of its own."""
+        lines = self._sales().withColumn("course", edition() if sparse else line_course())
         places = self.t("nation").join(
             self.t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"
         ).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
@@ -124,7 +142,7 @@ class Feeds:
             F.col("l_returnflag").alias("TIPO_MATRICULA"),
             F.col("o_orderstatus").alias("SITUACAO_CURSO"),
             F.concat(F.lit("SENAI "), "r_name").alias("UNIDADE"),
-            F.concat(F.lit("Técnico em "), "p_name").alias("CURSO"),
+            F.concat(F.lit("Técnico em "), "course").alias("CURSO"),
             F.col("p_type").alias("MODALIDADE"),
             F.col("o_orderpriority").alias("TURNO"),
             F.concat(F.year("o_orderdate"), F.lit("/1")).alias("PERIODO_LETIVO"),
@@ -160,12 +178,12 @@ class Feeds:
             F.col("l_extendedprice").alias("VL_REMUNERACAO_MEDIA_NOMINAL"))
 
     def school_census_raw(self):
-        return self._sales().filter("p_size <= 3").select(
+        return self._sales().select(
             F.year("o_orderdate").alias("NU_ANO_CENSO"),
             F.concat(F.col("c_nationkey").cast("string"), F.lit("7")).alias("CO_MUNICIPIO"),
             F.col("l_linenumber").alias("TP_DEPENDENCIA"),
             F.col("p_brand").alias("NO_ENTIDADE"),
-            F.col("p_name").alias("NO_CURSO_EDUC_PROFISSIONAL"),
+            line_course().alias("NO_CURSO_EDUC_PROFISSIONAL"),
             F.col("l_quantity").cast("int").alias("QT_MAT_CURSO_TEC_CT"),
             F.col("l_linenumber").alias("QT_MAT_CURSO_TEC_CONC"),
             F.when(F.col("l_linenumber") < 7, 0).alias("QT_MAT_TEC_SUBS"),
@@ -176,12 +194,12 @@ class Feeds:
         sellers = self.t("supplier").join(
             self.t("nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey"
         ).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "n_name")
-        return self._with_part(self.t("lineitem")).filter("p_size = 50").join(
+        return self._with_part(self.t("lineitem")).join(
             sellers, "l_suppkey").select(
             F.col("s_name").alias("UNIDADE_DE_ENSINO"),
             F.when(F.col("l_linestatus") == "O", "Educação Presencial")
             .otherwise("Educação a Distância").alias("MODALIDADE"),
-            F.upper("p_name").alias("CURSO"), F.col("n_name").alias("MUNICIPIO"),
+            F.upper(line_course()).alias("CURSO"), F.col("n_name").alias("MUNICIPIO"),
             F.date_format("l_shipdate", "dd/MM/yyyy").alias("Dt_SCRAPING"),
             F.lit(None).cast("string").alias("AZURE_GEOLOCATOR"))
 
@@ -199,8 +217,8 @@ class Feeds:
     def course_catalogue(self):
         kind = F.col("p_type")
         code = F.concat((F.ascii(kind) * 100 + F.length(kind)).cast("string"), F.lit(" -05 - "), kind)
-        return self.t("part").filter("p_size <= 3").select(
-            F.concat(F.lit("Técnico em "), "p_name").alias(TITLE),
+        return self.t("part").select(
+            F.concat(F.lit("Técnico em "), course()).alias(TITLE),
             F.concat(code, F.lit("\nOCUPAÇÃO AINDA NÃO CLASSIFICADA\n \nsem código")).alias(OCCUPATIONS),
             F.concat(F.lit("Especialização Técnica em "), "p_brand",
                      F.lit("\nSugestões de cursos\nBacharelado em "), "p_type",

@@ -24,8 +24,8 @@ class TrainingOptions:
     categorical: list = field(default_factory=lambda: list(CATEGORICAL))
     numeric: list = field(default_factory=lambda: list(NUMERIC))
     learner: str = "boosted"
-    rounds: int = 100
-    rate: float = 0.05
+    rounds: int = 1000
+    rate: float = 0.006
     depth: int = 4
     min_rows: int = 2
     row_share: float = 0.95
@@ -57,6 +57,14 @@ def fit_features(rows, options):
     return Pipeline(stages=stages).fit(rows).stages
 
 
+def one_hot_slot(stages, column):
+    """Slot of a row's category among the column's slots, from 1; 0 for the first or an unseen
+    one.  ``stages`` are those of ``fit_features``; their indices count down the alphabet."""
+    indexer = stages[0]
+    labels = indexer.labelsArray[indexer.getInputCols().index(column)]
+    return F.greatest(len(labels) - 1 - F.col(f"_{column}_i"), F.lit(0)).cast("int")
+
+
 def _learner(options):
     common = dict(labelCol="label", featuresCol="features", weightCol="PESO",
                   maxDepth=options.depth, minInstancesPerNode=options.min_rows,
