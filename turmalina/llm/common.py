@@ -1,5 +1,7 @@
 """Helpers the operators share: tables, shared written hand-offs, Arrow text batches."""
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20  # text bytes worked on at once; bounds the memory of a task, not the text
+SLICE_BYTES = 1 << 20  # text bytes worked on at once; bounds the memory of a task, not the text
 
 
 def table(spark, sf_dir: str, name: str):
@@ -59,10 +61,26 @@ def ship(spark):
     _shipped.add(context.applicationId)
 
 
+def release():
+    """Give memory that was freed back to the system: Python workers serve one stage after
+    another, and what each keeps for reuse would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df, function, schema: str):
     """``function(batches) -> batches`` over Arrow record batches, one call per partition."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def lean(batches):
+        release()  # what the stage before it left
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(lean, schema)
 
 
 def text_slices(batches, text: str = "text", limit: int = SLICE_BYTES):
