@@ -395,3 +395,47 @@ def test_code_lengths_are_those_of_a_plain_ppm():
             bits += math.log2(S - len(seen))
         assert table[symbol + S * one + S * S * two] == pytest.approx(bits, abs=1e-4)
     assert np.allclose((2.0 ** -table.reshape(-1, S)).sum(1), 1, atol=1e-5)
+
+
+def test_languages_of_minority_scripts(spark):
+    """Many Latin rows with many letters don't leave two small languages without symbols of their own."""
+    latin = "the quick brown fox jumps over 13 lazy dogs; 'pack' my (box) with: five, dozen. liquor-jugs? 2456789 0! "
+    cyrillic = {"ru": "быстрая лиса прыгает через ленивую собаку", "uk": "швидка лисиця їде ґанком і стрибає"}
+    rows = [(i, latin * 20, "en") for i in range(60)]
+    rows += [(100 + i, text, lang) for i, (lang, text) in enumerate(sorted(cyrillic.items()) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for cached in (1 << 19, 10, 0):
+        model = language_id.learn(docs, cached=cached)
+        got = language_id.identify(docs, model, ("doc_id", "lang", "text")).collect()
+        assert all(r.lang == r.lang_pred for r in got)
+        swapped = spark.createDataFrame([(1, "\u043b\u0438\u0441\u0430"), (2, "\u0457\u0434\u0435")], "doc_id bigint, text string")
+        assert [r.lang_pred for r in sorted(language_id.identify(swapped, model).collect())] == ["ru", "uk"]
+
+
+def test_code_lengths_tell_all_bytes_apart(spark):
+    """A text's cost is that of a plain PPM over 256 byte values."""
+    learning = [bytes(range(33, 127)).decode().lower() * 2, "jkjk \u00e7\u00ea\u00fc\u00df jk", "kkkj"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(learning)], "doc_id bigint, text string, lang string")
+    model = language_id.learn(docs, cached=7)
+    counts = [collections.defaultdict(collections.Counter) for _ in range(4)]
+    for t in learning:
+        data = b"   " + t.encode()
+        for i in range(3, len(data)):
+            for depth in range(4):
+                counts[depth][data[i - depth:i]][data[i]] += 1
+    for text in ("jk", "kj", "\u00fc\u00df", "zq\u4e2d"):
+        data, bits = b"   " + text.encode(), 0.0
+        for i in range(3, len(data)):
+            seen = set()
+            for depth in range(3, -1, -1):
+                n = {b: c for b, c in counts[depth][data[i - depth:i]].items() if b not in seen}
+                if data[i] in n:
+                    bits += math.log2((sum(n.values()) + len(n)) / n[data[i]])
+                    break
+                bits += math.log2((sum(n.values()) + len(n)) / len(n)) if n else 0
+                seen |= set(n)
+            else:
+                bits += math.log2(256 - len(seen))
+        own = np.frombuffer(text.encode(), np.uint8)
+        code = language_id._grams(own, np.array([0, len(own)]), 3)
+        assert model.bits(code).sum() == pytest.approx(bits, abs=1e-4)
