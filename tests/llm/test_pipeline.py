@@ -40,3 +40,21 @@ def test_small_tables(spark, rows):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_near_duplicates_by_five_words_and_080(spark):
+    """The stage keeps what comparing all pairs at its own values keeps."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(d, " ".join(base + [f"x{i}" for i in range(more)])) for d, more in enumerate((0, 40, 60, 120))]
+    other = [f"v{i}" for i in range(200)]
+    rows += [(10, " ".join(other)), (11, " ".join(w if i % 30 else "y" for i, w in enumerate(other)))]
+    sets = {d: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = {d: group[a] if g == group[b] else g for d, g in group.items()}
+    assert group[0] == group[1]  # 0.83
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({min(d for d in group if group[d] == g) for g in group.values()})
