@@ -439,3 +439,19 @@ def test_code_lengths_tell_all_bytes_apart(spark):
         own = np.frombuffer(text.encode(), np.uint8)
         code = language_id._grams(own, np.array([0, len(own)]), 3)
         assert model.bits(code).sum() == pytest.approx(bits, abs=1e-4)
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    """Against an unchanged tokenizer, which splits texts on the file's added tokens first."""
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "one two <|endoftext|><|endoftext|> \u00a0x, y", "cut here <|endof", "text|> and on", "", "plain"]
+    plain = Tokenizer.from_file(TOKENIZER)
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    ids = [ids_of(plain, t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in best_fit_packing.pack(docs, TOKENIZER).collect()}
+    assert packed == {d: (len(own), zlib.crc32(np.array(own, "<u4").tobytes())) for d, own in enumerate(ids)}
+    found = {}
+    for r in packed_matrices.matrices(docs, TOKENIZER).collect():
+        line = np.frombuffer(r.ids, "<u4").tolist()
+        found |= {d: line[a:b] for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:])}
+    assert found == dict(enumerate(ids))

@@ -6,7 +6,8 @@ merges by id, as these vocabularies do.  The tests hold the ids against ``tokeni
 The vocabulary's split pattern always breaks before a single blank between two words and
 between an ASCII letter and punctuation.  Texts are cut there, each distinct piece is encoded
 once, and the ids are gathered back; texts with other white space than ASCII's are encoded
-whole.  The ids equal those of encoding each text.
+whole.  Texts that hold one of the file's added tokens are encoded by ``tokenizers`` itself.  The
+ids equal those of encoding each text with ``add_special_tokens=False``.
 """
 
 from itertools import chain
@@ -50,11 +51,13 @@ class Encoder:
     """Ids of text batches; one per worker and vocabulary."""
 
     def __init__(self, path: str):
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        self.plain = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values()]
+        vocabulary = self.plain.get_vocab(with_added_tokens=False)
         letters = {c: bytes([b]) for b, c in byte_letters().items()}
         ranks = {b"".join(letters[c] for c in word): i for word, i in vocabulary.items()
                  if all(c in letters for c in word)}
-        # Special tokens are left out: their strings in a text are ordinary text.
+        # Texts with added tokens don't come here, so the merges go without them.
         self.merges = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.reset()
 
@@ -124,6 +127,19 @@ class Encoder:
         index = np.repeat(begin - filled[:-1], lengths) + np.arange(filled[-1])
         return self.ids[index], filled[np.searchsorted(starts, offsets)]
 
+    def _with_added(self, part, bounds):
+        """The rows that hold an added token."""
+        raw, found = part.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                r = int(np.searchsorted(bounds, at, side="right")) - 1
+                inside = at + len(token) <= bounds[r + 1]
+                if inside:
+                    found.add(r)
+                at = raw.find(token, int(bounds[r + 1]) if inside else at + 1)
+        return found
+
     def rows(self, data, offsets):
         """Yield the ids of each row, in order."""
         at, n = 0, len(offsets) - 1
@@ -140,6 +156,9 @@ class Encoder:
                 text = part[bounds[r]:bounds[r + 1]].tobytes().decode("utf-8", "replace")
                 if any(c in text for c in ODD_SPACES):
                     whole[r] = np.asarray(self.merges.encode_ordinary(text), np.uint32)
+            for r in self._with_added(part, bounds):
+                text = part[bounds[r]:bounds[r + 1]].tobytes().decode("utf-8", "replace")
+                whole[r] = np.asarray(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
             ids, row_bounds = self._block(part, bounds)
             for r in range(to - at):
                 yield whole[r] if r in whole else ids[row_bounds[r]:row_bounds[r + 1]]
