@@ -455,3 +455,19 @@ def test_added_tokens_have_their_own_ids(spark):
         line = np.frombuffer(r.ids, "<u4").tolist()
         found |= {d: line[a:b] for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:])}
     assert found == dict(enumerate(ids))
+
+
+def test_support_and_spans_do_not_depend_on_size(spark):
+    """A context of ten seeds counts beside many seeds, and patterns that are joined say the same."""
+    texts = F.when(F.col("id") < 10, F.concat(F.lit("rare desk at +49 30 "), (F.col("id") + 1000000).cast("string"), F.lit(" soon")))
+    texts = texts.otherwise(F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@example.com")))
+    docs = spark.range(1_100_000).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    patterns = pii.learn(docs, rounds=1)
+    assert patterns["desk at _number"] == "phone"
+    few = docs.limit(40).union(spark.createDataFrame([(-1, "rare desk at 030 1234567 soon"), (-2, None)], "doc_id bigint, text string"))
+    one = pii.learn(few)
+    many = pii.learn(few, most=0)
+    assert isinstance(one, dict) and not isinstance(many, dict)
+    assert sorted(pii.report(few, one).collect()) == sorted(pii.report(few, many).collect())
+    assert multiset(pii.mask(few, one).collect()) == multiset(pii.mask(few, many).collect())
+    assert {r.doc_id: r.text for r in pii.mask(few, many).collect()}[-1] == "rare desk at <phone> soon"

@@ -7,8 +7,8 @@ share of its distinct instances that are of a kind; an instance is worth what it
 together (noisy or), seeds staying at 1.  Patterns of high confidence then mark the tokens that
 the fixed patterns missed.
 
-A kept pattern needs ``min_support`` seed instances and at least the share ``1 / MOST`` of all,
-so at most ``MOST`` patterns per kind of context go to the tasks.
+A kept pattern needs ``min_support`` seed instances, at any size of the input.  Up to ``MOST``
+kept patterns go to the tasks; more are joined with the documents' patterns in Spark.
 
 Spans are ``kind:start:end`` in code points, end exclusive, by kind as listed, then start.
 Defined results: null and empty texts have no spans; repeated rows get a row each, but equal
@@ -27,7 +27,8 @@ from . import common
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-MOST = 100_000
+MOST = 200_000
+SALTS = 16  # parts of a pattern in the join
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The stated patterns; possessive where giving back could never help, so long runs stay linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -134,20 +135,20 @@ def _edges(docs):
     return found.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
 
 
-def learn(docs, rounds: int = 3, confidence: float = 0.9, min_support: int = 10):
-    """The patterns of high confidence: a dict from pattern to kind, at most ``2 * MOST``."""
+def learn(docs, rounds: int = 3, confidence: float = 0.9, min_support: int = 10, most: int = MOST):
+    """The patterns of high confidence: a dict from pattern to kind, or a table of both if there
+    are more than ``most``."""
     edges = written(_edges(docs), "edges")
     seeds = edges.filter("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0))
     seeds = written(seeds, "seeds")
-    least = max(min_support, -(-seeds.count() // MOST))
     links = edges.select("pattern", "instance")
-    sizes = written(links.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "sizes")
+    sizes = written(links.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support), "sizes")
     links = written(links.join(sizes, "pattern"), "links")  # smaller patterns can't have the support
     scores, patterns = seeds, None
     for _ in range(rounds):
         patterns = (links.join(scores, "instance").groupBy("pattern", "kind", "n")
                     .agg(F.sum("score").alias("sum"), F.sum((F.col("score") == 1.0).cast("long")).alias("seeds"))
-                    .filter(F.col("seeds") >= least).withColumn("confidence", F.col("sum") / (F.col("n") + 1)))
+                    .filter(F.col("seeds") >= min_support).withColumn("confidence", F.col("sum") / (F.col("n") + 1)))
         patterns = written(patterns, "patterns")
         said = (links.select("pattern", "instance").join(patterns.select("pattern", "kind", "confidence"), "pattern")
                 .join(seeds.select("instance"), "instance", "left_anti").groupBy("instance", "kind")
@@ -155,7 +156,40 @@ def learn(docs, rounds: int = 3, confidence: float = 0.9, min_support: int = 10)
         scores = written(seeds.select("instance", "kind", "score").unionByName(said), "scores")
     kept = patterns.filter(F.col("confidence") >= confidence).groupBy("pattern").agg(
         F.max(F.struct("confidence", "kind")).alias("best")).select("pattern", "best.kind")
-    return {r["pattern"]: r["kind"] for r in kept.collect()}
+    kept = written(kept, "kept")
+    first = kept.limit(most + 1).collect()
+    return {r["pattern"]: r["kind"] for r in first} if len(first) <= most else kept
+
+
+def _with_own(docs, patterns):
+    """The documents with their kept patterns in a column, or those to broadcast.
+
+    Of the documents' patterns only the kept ones come back, so nothing is held whole in a task."""
+    if isinstance(patterns, dict):
+        return docs, docs.sparkSession.sparkContext.broadcast(patterns)
+    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+    def find(batches):
+        for batch in common.text_slices(batches):
+            ids, own = [], []
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist()):
+                found = {p for kind, _, _, two in mentions(text, base_spans(text)) if kind < 0 for p in two}
+                own += found
+                ids += [row] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string())], ["_row", "pattern"])
+
+    held = common.map_batches(docs.select("_row", "text"), find, "_row bigint, pattern string")
+    held = held.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    table = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = held.join(table, ["pattern", "salt"]).groupBy("_row").agg(F.collect_list(F.struct("pattern", "kind")).alias("_own"))
+    return docs.join(own, "_row", "left").drop("_row"), None
+
+
+def _own_patterns(batch, shared):
+    """The patterns to look up for each text of the batch."""
+    if shared is not None:
+        return [shared.value] * batch.num_rows
+    return [{r["pattern"]: r["kind"] for r in own or ()} for own in batch.column("_own").to_pylist()]
 
 
 def all_spans(text, patterns):
@@ -179,13 +213,13 @@ def _line(spans):
 def report(docs, patterns):
     """Per document: counts of the base spans, their digest, and all spans."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    docs, shared = _with_own(docs.select("doc_id", "text"), patterns)
 
     def rows(batches):
         for batch in common.text_slices(batches):
             counts, digests, lines = [], [], []
-            for text in batch.column("text").to_pylist():
-                base, spans = all_spans(text, shared.value)
+            for text, own in zip(batch.column("text").to_pylist(), _own_patterns(batch, shared)):
+                base, spans = all_spans(text, own)
                 counts.append([sum(k == i for k, _, _ in base) for i in range(4)])
                 digests.append(hashlib.sha256(_line(base).encode()).hexdigest())
                 lines.append(_line(spans))
@@ -196,19 +230,20 @@ def report(docs, patterns):
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
-    return common.map_batches(docs.select("doc_id", "text"), rows, schema)
+    return common.map_batches(docs, rows, schema)
 
 
 def mask(docs, patterns):
     """The documents with each span replaced by its kind in angle brackets; of overlapping spans
     the earlier one's kind stands for their union."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    schema, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), docs.columns
+    docs, shared = _with_own(docs, patterns)
 
     def rows(batches):
         for batch in common.text_slices(batches):
-            texts = batch.column("text").to_pylist()
+            texts, owns = batch.column("text").to_pylist(), _own_patterns(batch, shared)
             for i, text in enumerate(texts):
-                spans = sorted((a, b, k) for k, a, b in all_spans(text, shared.value)[1])
+                spans = sorted((a, b, k) for k, a, b in all_spans(text, owns[i])[1])
                 if not spans:
                     continue
                 out, at = [], 0
@@ -218,7 +253,6 @@ def mask(docs, patterns):
                     at = max(at, b)
                 texts[i] = "".join([*out, text[at:]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, f.type) if f.name == "text" else batch.column(f.name) for f in batch.schema], batch.schema.names)
+                [pa.array(texts, batch.column(n).type) if n == "text" else batch.column(n) for n in names], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return common.map_batches(docs, rows, schema)
