@@ -63,9 +63,7 @@ def ids_of(tokenizer, text):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    out = Tokenizer.from_file(TOKENIZER)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def multiset(rows):

@@ -5,12 +5,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    best_fit_packing, decontamination, hidden_markov, hilbert_sharding, language_id, nearest_neighbours,
-    ngram_jaccard_join, packed_matrices, pii, url_filter,
+    best_fit_packing, cross_tokenizer_alignment, decontamination, hidden_markov, hilbert_sharding, language_id, nearest_neighbours,
+    ngram_jaccard_join, packed_matrices, periodic_runs, pii, source_mixing, url_filter,
 )
 from .common import held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -56,8 +57,21 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.learn(docs.filter("NOT held_out")), ("doc_id", "held_out"))
 
 
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return cross_tokenizer_alignment.report(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark, sf_dir):
+    return source_mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_ngram_jaccard_join, op3_contextual_pii, op4_hidden_markov_scoring,
     op5_packed_matrices, op6_hilbert_sharding, op7_benchmark_decontamination, op8_nearest_neighbours, op9_url_filter, op10_language_id,
+    op11_cross_tokenizer_alignment, op12_periodic_runs, op13_source_mixing,
 )}
-ORACLE = {}
+ORACLE = {"op13_source_mixing": source_mixing.SQL}
