@@ -18,7 +18,7 @@ def test_stages(spark):
         if name != "packing":
             assert docs.columns == columns
     assert kept["language_id"].count() == 200  # clean documents stay
-    comps = ngram_jaccard_join.jaccard_components(kept["language_id"])
+    comps = ngram_jaccard_join.jaccard_components(kept["language_id"], width=5, percent=80)
     assert ({r.doc_id for r in kept["near_duplicates"].collect()}
             == {r.component_id for r in comps.select("component_id").distinct().collect()})
     items = spark.read.parquet(f"{SF}/benchmark.parquet")

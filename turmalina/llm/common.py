@@ -5,12 +5,14 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+_handed = weakref.WeakKeyDictionary()  # hand-offs and their paths
 SLICE_BYTES = 1 << 20  # text bytes worked on at once; bounds the memory of a task, not the text
 
 
@@ -38,7 +40,22 @@ def written(df, name: str):
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _handed[out] = path
+    return out
+
+
+def discard(*frames):
+    """Delete the files of hand-offs that nothing reads any more, and let Spark's cleaner see that
+    the shuffles behind them are done with."""
+    for df in frames:
+        path = _handed.pop(df, None)
+        if path is not None:
+            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath.getParent(), True)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 _shipped = set()
