@@ -285,13 +285,3 @@ def test_repeated_rows_are_the_mix(spark):
         found[r.doc_id] += size(r.text)
         assert texts[r.doc_id].startswith(r.text)
     assert found == collections.Counter({r.doc_id: r.taken for r in source_mixing.report(docs).collect() if r.taken})
-
-
-def test_mixing_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    result = con.execute(ORACLE["op13_source_mixing"])
-    names = [c[0] for c in result.description]
-    expected = collections.Counter(result.fetchall())
-    got = QUERIES["op13_source_mixing"](spark, SF).select(*names)
-    assert collections.Counter(tuple(r) for r in got.collect()) == expected

@@ -3,13 +3,14 @@
 Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased.  A window is
 ``window`` consecutive words of one item; an item of fewer words, but not none, is one window
 as a whole.  The automaton holds all items' word sequences; a document's words are streamed
-through it, tracking the longest suffix that occurs in some item, and every word inside an
-occurrence of a window is hit.
+through it, tracking the longest suffix (up to a window) that occurs in some item, and every word
+inside an occurrence of a window is hit.  The walk is linear in the words, also where one repeats.
 
 Only stretches of words whose neighbours follow each other in some item can hold a window of two
 or more words, so the automaton walks those stretches alone.  The items are taken in blocks of
 at most ``block_words`` words, so the automaton a task holds has a fixed bound; each block is
-one pass over the documents, and the passes' hits are united per document.
+one pass over the documents, and the passes' hits are united per document.  A worker builds a
+block's automaton once.
 
 Defined results: null or empty texts and items have no words; documents without words get a row
 with no hits; repeated rows get a row each (equal rows are alike); empty tables give no rows, or
@@ -17,7 +18,7 @@ no hits; a null ``item_id`` takes part in hits but not in the list of items; oth
 either table are carried by ``clean`` and ignored otherwise.
 """
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -72,47 +73,52 @@ class Automaton:
         """Items that hold a window ending in a state, and short items that are a state."""
         self.holders, self.short = [[] for _ in self.next], [[] for _ in self.next]
         for number, words in enumerate(items):
-            state = 0
-            for i, w in enumerate(words):
-                state = self.next[state][w]
-                if i + 1 >= self.window:
-                    at = self._of_length(state, self.window)
-                    if not self.holders[at] or self.holders[at][-1] != number:
-                        self.holders[at].append(number)
+            state = length = 0
+            for w in words:
+                state, length = self._follow(state, length, w)
+                if length == self.window and (not self.holders[state] or self.holders[state][-1] != number):
+                    self.holders[state].append(number)
             if 0 < len(words) < self.window:
-                self.short[self._of_length(state, len(words))].append((len(words), number))
-
-    def _of_length(self, state, length):
-        """The state on the suffix path that holds the suffix of this length."""
-        while self.length[self.link[state]] >= length:
-            state = self.link[state]
-        return state
+                self.short[state].append((len(words), number))
+        # The next state on the suffix path that is a short item, -1 if none.
+        self.shorter = [-1] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            up = self.link[state]
+            self.shorter[state] = up if self.short[up] else self.shorter[up]
+
+    def _follow(self, state, length, w):
+        """The state of the longest suffix, of ``window`` words at most, after one more word.  The
+        suffix is cut as it grows, so steps back are never taken twice."""
+        moves, link, lengths = self.next, self.link, self.length
+        while state and w not in moves[state]:
+            state = link[state]
+            length = lengths[state]
+        if w not in moves[state]:
+            return 0, 0
+        state, length = moves[state][w], min(length + 1, self.window)
+        while lengths[link[state]] >= length:
+            state = link[state]
+        return state, length
 
     def scan(self, words):
         """Hit marks of the words, and the items whose windows occur."""
         hit, found, full = np.zeros(len(words) + 1, np.int64), set(), set()
         state = length = 0
-        moves, link, lengths, window = self.next, self.link, self.length, self.window
+        window, short, shorter = self.window, self.short, self.shorter
         for i, w in enumerate(words):
-            while state and w not in moves[state]:
-                state = link[state]
-                length = lengths[state]
-            if w in moves[state]:
-                state = moves[state][w]
-                length += 1
+            state, length = self._follow(state, length, w)
             if length >= window:
-                at = self._of_length(state, window)
-                full.add(at)
+                full.add(state)
                 hit[i + 1 - window] += 1
                 hit[i + 1] -= 1
-            at = state
+            at = state if short[state] else shorter[state]
             while at > 0:
-                for m, number in self.short[at]:
+                for m, number in short[at]:
                     if m <= length:
                         found.add(number)
                         hit[i + 1 - m] += 1
                         hit[i + 1] -= 1
-                at = link[at]
+                at = shorter[at]
         for at in full:
             found.update(self.holders[at])
         return np.cumsum(hit[:-1]) > 0, found
@@ -182,29 +188,50 @@ def _blocks(benchmark, block_words: int):
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 
-FOUND = "n_words bigint, hit_words array<bigint>, hit_items array<string>"
+FOUND = {"n_words": "bigint", "hit_words": "array<bigint>", "hit_items": "array<string>"}
 
 
 def hits(docs, benchmark, window: int = 10, block_words: int = 1_000_000):
     """All columns of ``docs`` (one of a clashing name gives way) plus ``n_words``, ``hit_words``
     (word numbers) and ``hit_items``.  Passes follow each other, each over one block of items."""
-    kept = [f for f in docs.schema if f.name not in ("n_words", "hit_words", "hit_items")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), FOUND])
-    marked = docs.select(*(f"`{f.name}`" for f in kept), F.expr("0L AS n_words"),
-                         F.expr("array() AS hit_words").cast("array<bigint>"), F.expr("array() AS hit_items").cast("array<string>"))
+    kept = [n for n in docs.columns if n not in FOUND]
+    return _hits(docs.select(*(f"`{n}`" for n in kept)), benchmark, window, block_words, tuple(FOUND))[0]
+
+
+def _hits(docs, benchmark, window, block_words, names):
+    """``hits`` with the new columns under ``names``, and the broadcast blocks of items."""
+    kinds = list(FOUND.values())
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema),
+                        *(f"`{n}` {k}" for n, k in zip(names, kinds))])
+    marked = docs.select("*", F.lit(0).cast(kinds[0]).alias(names[0]), F.array().cast(kinds[1]).alias(names[1]),
+                         F.array().cast(kinds[2]).alias(names[2]))
+    blocks = []
     for k, block in enumerate(_blocks(benchmark, block_words)):
         marked = written(marked, "marked") if k else marked
-        marked = common.map_batches(marked, _marker(docs.sparkSession.sparkContext.broadcast(block), window), schema)
-    return marked
+        blocks.append((f"{uuid.uuid4().hex}", docs.sparkSession.sparkContext.broadcast(block)))
+        marked = common.map_batches(marked, _marker(blocks[-1], window, names), schema)
+    return marked, blocks
+
+
+_matchers = {}
+
 
+def _matcher(block, window):
+    """A block's ids and matcher; a worker builds it once and keeps the last."""
+    key, shared = block
+    if (key, window) not in _matchers:
+        _matchers.clear()
+        ids, texts = shared.value
+        _matchers[key, window] = ids, Matcher(texts, window)
+    return _matchers[key, window]
 
-def _marker(block, window: int):
+
+def _marker(block, window: int, added):
     def mark(batches):
-        ids, texts = block.value
-        matcher = Matcher(texts, window)
+        ids, matcher = _matcher(block, window)
         for batch in common.text_slices(batches):
             words, bounds, _, _ = word_hashes(*common.column_bytes(batch.column("text")), NOT_ALNUM)
-            hit_words, items = batch.column("hit_words").to_pylist(), batch.column("hit_items").to_pylist()
+            hit_words, items = batch.column(added[1]).to_pylist(), batch.column(added[2]).to_pylist()
             for r, marks, found in matcher.rows(words, bounds):
                 hit_words[r] = sorted({*hit_words[r], *np.flatnonzero(marks).tolist()})
                 items[r] = sorted({*items[r], *(ids[i] for i in found if ids[i] is not None)})
@@ -212,7 +239,7 @@ def _marker(block, window: int):
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(np.diff(bounds), pa.int64()),
                  pa.array(hit_words, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                [*names, "n_words", "hit_words", "hit_items"])
+                [*names, *added])
     return mark
 
 
@@ -225,29 +252,56 @@ def report(docs, benchmark, window: int = 10, block_words: int = 1_000_000):
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
+def _without(text, own):
+    """The bytes of a text without the spans of the words ``own`` (numbers, ascending)."""
+    _, _, starts, ends = word_hashes(text, np.array([0, len(text)]), NOT_ALNUM)
+    keep = np.ones(len(text), bool)
+    breaks = np.flatnonzero(np.diff(own) > 1)
+    for a, b in zip([own[0], *own[breaks + 1]], [*own[breaks], own[-1]]):
+        keep[starts[a]:ends[b]] = False
+    return text[keep]
+
+
 def clean(docs, benchmark, window: int = 10, max_coverage: float = 0.5, block_words: int = 1_000_000):
     """The documents without their hit spans, in the columns of ``docs``; those with more than
-    ``max_coverage`` of their words hit are dropped whole."""
-    marked = hits(docs, benchmark, window, block_words)
+    ``max_coverage`` of their words hit are dropped whole.
+
+    Where a span goes, the words on its two sides come together, so a text that was cut is
+    matched again, against every block, until nothing is hit."""
+    added = []
+    for name in FOUND:
+        while name in docs.columns:
+            name += "_"
+        added.append(name)
+    marked, blocks = _hits(docs, benchmark, window, block_words, added)
     names = docs.columns
 
+    def again(text):
+        """The bytes of a text after all cuts."""
+        cut = True
+        while cut:
+            cut = False
+            for block in blocks:
+                words, bounds, _, _ = word_hashes(text, np.array([0, len(text)]), NOT_ALNUM)
+                for _, marks, _ in _matcher(block, window)[1].rows(words, bounds):
+                    text, cut = _without(text, np.flatnonzero(marks)), True
+        return text
+
     def cut(batches):
         for batch in common.text_slices(batches):
             data, offsets = common.column_bytes(batch.column("text"))
-            texts = batch.column("text").to_pylist()
-            hit = batch.column("hit_words")
-            for r in np.flatnonzero(np.asarray(hit.value_lengths()) > 0):
-                own = np.asarray(hit[int(r)].as_py())
-                text = data[offsets[r]:offsets[r + 1]]
-                _, _, starts, ends = word_hashes(text, np.array([0, len(text)]), NOT_ALNUM)
-                keep = np.ones(len(text), bool)
-                breaks = np.flatnonzero(np.diff(own) > 1)
-                for a, b in zip([own[0], *own[breaks + 1]], [*own[breaks], own[-1]]):
-                    keep[starts[a]:ends[b]] = False
-                texts[r] = text[keep].tobytes().decode("utf-8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, batch.schema.field("text").type) if n == "text" else batch.column(n) for n in names], names)
-
-    kept = marked.filter(F.size("hit_words") <= max_coverage * F.col("n_words"))
+            hit = batch.column(added[1])
+            some = np.flatnonzero(np.asarray(hit.value_lengths()) > 0)
+            if len(some):
+                texts = batch.column("text").to_pylist()
+                for r in some:
+                    own = np.asarray(hit[int(r)].as_py())
+                    texts[r] = again(_without(data[offsets[r]:offsets[r + 1]], own)).tobytes().decode("utf-8")
+                column = pa.array(texts, batch.schema.field("text").type)
+            else:
+                column = batch.column("text")
+            yield pa.RecordBatch.from_arrays([column if n == "text" else batch.column(n) for n in names], names)
+
+    kept = marked.filter(F.size(added[1]) <= max_coverage * F.col(added[0]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return common.map_batches(kept, cut, schema)

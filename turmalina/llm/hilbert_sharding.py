@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
-Metadata dimensions are quantised to ``bits`` bits by their own quantiles and joined to one
+Metadata dimensions are quantised to ``bits`` bits by their own quantiles (strings by the order of
+their distinct whole values) and joined to one
 curve index; neighbours on the curve are alike in all dimensions at once.  The rows in curve
 order are cut into runs of equal count (law ``rows``: counts are at most one apart), so each
 shard covers a small box of the metadata and can be skipped by a filter on any dimension.
@@ -67,36 +68,54 @@ def with_curve(df, dims: list, bits: int, name: str = "curve"):
     return df.withColumn("_gray", gray).withColumn("_flip", flip).withColumn(name, index).drop("_gray", "_flip")
 
 
-def _as_number(column, kind: str):
-    """A number that sorts like the column: strings by their first seven bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.substring(F.hex(column.cast("binary")), 1, 14), 14, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def _quantised(df, numbers: list, strings: list, bits: int):
+    """Each dimension's place among its quantiles: ``2 ** bits`` steps, null in the first.
 
-
-def _quantised(df, dims: list, bits: int):
-    """Each dimension's place among its quantiles: ``2 ** bits`` steps, null in the first."""
+    Numbers are held against approximate quantiles; of strings the distinct values are put in
+    order, whole, and a value's place is the share of rows before it."""
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    edges = df.agg(*(F.percentile_approx(d, F.array(*map(F.lit, steps)), 10000).alias(d) for d in dims)).first()
-    for d in dims:
+    edges = df.agg(*(F.percentile_approx(d, F.array(*map(F.lit, steps)), 10000).alias(d) for d in numbers)).first()
+    for d in numbers:
         cuts = sorted(set(edges[d] or []))
         own = F.col(d)
         place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda edge: edge <= own)) if cuts else F.lit(0)
         df = df.withColumn(d, F.coalesce(F.when(F.col(d).isNotNull(), place), F.lit(0)).cast("long"))
+    for d in strings:
+        places = written(_string_places(df, d, bits), "places")
+        df = (df.alias("l").join(places.alias("r"), F.col(f"l.{d}").eqNullSafe(F.col("r.value")))
+              .select(*(F.col("r.place").alias(d) if c == d else F.col(f"l.{c}") for c in df.columns)))
     return df
 
 
+def _string_places(df, column: str, bits: int):
+    """``value`` and ``place`` of each distinct value; ranges of values are counted first, so no
+    task orders them all."""
+    ranged = written(df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+                     .repartitionByRange(F.col("value").asc_nulls_first())
+                     .withColumn("part", F.spark_partition_id()), "values")
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))  # one row per range
+    parts = parts.select("part", ahead(upto(F.lit(0)).orderBy("part")).alias("b1"),
+                         F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    inner = ranged.withColumn("b2", ahead(upto("part").orderBy(F.col("value").asc_nulls_first())))
+    return inner.join(parts, "part").select("value", F.expr(f"(b1 + b2) * {1 << bits} DIV all").cast("long").alias("place"))
+
+
 def shard(docs, shards: int = 16, dims=("source", "lang"), bits: int = 6):
     """Every document's shard and slot; the text's size is a dimension besides ``dims``."""
     kinds = dict(docs.dtypes)
     text = F.coalesce("text", F.lit(""))
     rows = written(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("th"), *(_as_number(F.col(d), kinds[d]).alias(f"q_{d}") for d in dims)), "rows")
+        F.xxhash64(text).alias("th"),
+        *(F.col(d).cast("string" if kinds[d] == "string" else "double").alias(f"q_{d}") for d in dims)), "rows")
+    strings = [f"q_{d}" for d in dims if kinds[d] == "string"]
     names = ["q_size", *(f"q_{d}" for d in dims)]
     groups = rows.groupBy("th", "size").agg(F.min(F.col("size").cast("double")).alias("q_size"),
                                             *(F.min(f"q_{d}").alias(f"q_{d}") for d in dims))
-    groups = with_curve(_quantised(written(groups, "groups"), names, bits), names, bits)
+    groups = with_curve(_quantised(written(groups, "groups"), [n for n in names if n not in strings], strings, bits),
+                        names, bits)
     placed = (rows.drop(*names).join(groups, ["th", "size"])
               .withColumn("cell", F.col("curve"))
               .withColumn("tb", F.pmod("th", F.lit(TEXT_BUCKETS)).cast("int"))

@@ -232,12 +232,12 @@ def _has_letter(text) -> bool:
     return bool(text) and any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
-def identify(docs, model: Model, keep=("doc_id",)):
-    """The columns ``keep`` with ``lang_pred`` and ``score``."""
-    keep = [n for n in keep if n not in ("lang_pred", "score")]
+def identify(docs, model: Model, keep=("doc_id",), added=("lang_pred", "score")):
+    """The columns ``keep`` with the prediction and its score under the names ``added``."""
+    keep = [n for n in keep if n not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema),
-                        "lang_pred string, score double"])
+                        f"`{added[0]}` string, `{added[1]}` double"])
 
     def rows(batches):
         model = shared.value
@@ -255,12 +255,17 @@ def identify(docs, model: Model, keep=("doc_id",)):
                 score = np.where(lettered, 1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1), 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(langs[best], pa.string()), pa.array(score, pa.float64())],
-                [*keep, "lang_pred", "score"])
+                [*keep, *added])
 
     return common.map_batches(docs.select(*dict.fromkeys([*keep, "text"])), rows, schema)
 
 
 def known(docs, learning):
     """The documents whose language can be told, unchanged."""
-    found = identify(docs, learn(learning), keep=tuple(docs.columns))
-    return found.filter("lang_pred <> 'und'").select(*docs.columns)
+    added = []
+    for name in ("lang_pred", "score"):
+        while name in docs.columns:
+            name += "_"
+        added.append(name)
+    found = identify(docs, learn(learning), tuple(docs.columns), added)
+    return found.filter(F.col(added[0]) != "und").select(*(f"`{c}`" for c in docs.columns))

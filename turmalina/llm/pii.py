@@ -1,23 +1,25 @@
 """Personal data by bootstrapped contextual extraction.
 
 Fixed patterns find e-mail addresses, IP addresses, payment cards and phone numbers; their spans
-are always kept.  They also seed the method: the words around identifier-like tokens are lexical
-patterns, and Spark scores the graph of patterns and instances in turns.  A pattern is worth the
-share of its distinct instances that are of a kind; an instance is worth what its patterns say
-together (noisy or), seeds staying at 1.  Patterns of high confidence then mark the tokens that
-the fixed patterns missed.
+are always kept.  They also seed the method: the words around identifier-like tokens, as they are
+or by their class with the token's own form, are patterns, and Spark scores the graph of patterns
+and instances in turns.  A pattern is worth the share of its distinct instances that are of a
+kind; an instance is worth what its patterns say together (noisy or), seeds staying at 1.
+Patterns of high confidence then mark the tokens that the fixed patterns missed.
 
 A kept pattern needs ``min_support`` seed instances, at any size of the input.  Up to ``MOST``
 kept patterns go to the tasks; more are joined with the documents' patterns in Spark.
 
 Spans are ``kind:start:end`` in code points, end exclusive, by kind as listed, then start.
 Defined results: null and empty texts have no spans; repeated rows get a row each, but equal
-instances count once; an empty table gives no rows; other columns are kept by ``mask`` and
-ignored otherwise (a clashing name gives way).
+instances count once; a text is read whole in linear time, and neighbours of more than 40
+characters are of one class; an empty table gives no rows; other columns are kept by ``mask`` and
+ignored otherwise.
 """
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"[+(]?[0-9][0-9().-]*(?:\x20[0-9().-]*[0-9][0-9().-]*)+|\S*[0-9@]\S*")
+NUMBERS = re.compile(r"[+(]?[0-9][0-9().-]*+(?:\x20[().-]*+[0-9][0-9().-]*+)+")
+WORD = re.compile(r"\S++")
+LONG = 40  # a neighbour of more characters is of the class of long words
+RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 EDGE = ".,;:!?\"'<>[]{}*#&$%|/\\"
 
 
@@ -81,26 +86,70 @@ def base_spans(text):
     return out
 
 
-def _words_around(text, start, end):
-    left = text[max(0, start - 80):start].lower().split()[-2:]
-    right = text[end:end + 40].lower().split()[:1]
-    left = [""] * (2 - len(left)) + left
-    return left[0], left[1], right[0] if right else ""
+def _identifiers(text):
+    """Spans of the words with a digit or @, and of numbers in several parts; each is found from
+    its first such sign, so runs without one cost nothing."""
+    at = 0
+    sign = SIGN.search(text)
+    while sign:
+        start = sign.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        found = NUMBERS.match(text, start) or WORD.match(text, start)
+        yield found.span()
+        at = found.end()
+        sign = SIGN.search(text, at)
+
+
+def _class(word):
+    """The class of a neighbour."""
+    if not word:
+        return "none"
+    if any(c.isdigit() for c in word):
+        return "number"
+    if not any(c.isalpha() for c in word):
+        return "sign"
+    return "small" if word == word.lower() else "big" if word == word.upper() else "title"
+
+
+def _neighbours(text, starts, ends, a, b):
+    """The two words before a span and the one after it; a part of a word counts as one."""
+    out = []
+    i = bisect_left(starts, a) - 1
+    if i >= 0 and ends[i] >= a:
+        out.append((starts[i], a))
+        i -= 1
+    while len(out) < 2 and i >= 0:
+        out.append((starts[i], ends[i]))
+        i -= 1
+    j = bisect_right(ends, b)
+    after = (max(starts[j], b), ends[j]) if j < len(ends) else (b, b)
+    words = ["*long*" if y - x > LONG else text[x:y] for x, y in (*out, after)]
+    return [""] * (2 - len(out)) + words[-2::-1] + words[-1:]
 
 
 def _shape(value):
     return "mail" if "@" in value else "number" if not any(c.isalpha() for c in value) else "mixed"
 
 
+def _form(value):
+    """The runs of digits and letters with their lengths, and the signs between them."""
+    if len(value) > LONG:
+        return "*long*"
+    return RUN.sub(lambda m: f"{'9' if m.group()[0].isdigit() else 'a'}{len(m.group())}", value)
+
+
 def mentions(text, base):
-    """Identifier-like spans with their lexical patterns: (kind number or -1, start, end, patterns)."""
+    """Identifier-like spans with their patterns: (kind number or -1, start, end, patterns).
+
+    Patterns are lexical (the two words before; the word before and after), by classes of the
+    neighbours, and by the class of the word before alone, the last two with the span's form."""
     if not text or not SIGN.search(text):
         return
     spans, covered = list(base), sorted((a, b) for _, a, b in base)
     starts = np.array([a for a, _ in covered], np.int64)
     most = np.maximum.accumulate([b for _, b in covered]) if covered else None
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
+    for a, b in _identifiers(text):
         while a < b and text[a] in EDGE:
             a += 1
         while b > a and text[b - 1] in EDGE:
@@ -108,10 +157,16 @@ def mentions(text, base):
         before = int(np.searchsorted(starts, b))  # base spans that begin before the end
         if b - a >= 5 and not (before and most[before - 1] > a):
             spans.append((-1, a, b))
+    if not spans:
+        return
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     for kind, a, b in spans:
-        two, one, after = _words_around(text, a, b)
-        shape = _shape(text[a:b])
-        yield kind, a, b, (f"{two} {one} _{shape}", f"{one} _{shape} {after}")
+        two, one, after = _neighbours(text, starts, ends, a, b)
+        value = text[a:b]
+        shape, form = _shape(value), _form(value)
+        yield kind, a, b, (f"{two.lower()} {one.lower()} _{shape}", f"{one.lower()} _{shape} {after.lower()}",
+                           f"<{_class(one)}> _{form} <{_class(after)}>", f"<{_class(one)}> _{form}")
 
 
 def _edges(docs):
@@ -167,7 +222,8 @@ def _with_own(docs, patterns):
     Of the documents' patterns only the kept ones come back, so nothing is held whole in a task."""
     if isinstance(patterns, dict):
         return docs, docs.sparkSession.sparkContext.broadcast(patterns)
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    docs = written(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc"), F.col("text"),
+                               F.monotonically_increasing_id().alias("_row")), "rows")
 
     def find(batches):
         for batch in common.text_slices(batches):
@@ -182,7 +238,7 @@ def _with_own(docs, patterns):
     held = held.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
     table = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = held.join(table, ["pattern", "salt"]).groupBy("_row").agg(F.collect_list(F.struct("pattern", "kind")).alias("_own"))
-    return docs.join(own, "_row", "left").drop("_row"), None
+    return docs.join(own, "_row", "left").select("_doc", "text", "_own"), None
 
 
 def _own_patterns(batch, shared):
@@ -192,6 +248,11 @@ def _own_patterns(batch, shared):
     return [{r["pattern"]: r["kind"] for r in own or ()} for own in batch.column("_own").to_pylist()]
 
 
+def _column(batch, name):
+    """A document's own column, which the joined form holds in a struct."""
+    return batch.column("_doc").field(name) if batch.schema.names == ["_doc", "text", "_own"] else batch.column(name)
+
+
 def all_spans(text, patterns):
     """(base spans, base and learnt spans), each in order."""
     base = base_spans(text)
@@ -225,7 +286,7 @@ def report(docs, patterns):
                 lines.append(_line(spans))
             counts = np.array(counts, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(counts[:, i]) for i in range(4)),
+                [_column(batch, "doc_id"), *(pa.array(counts[:, i]) for i in range(4)),
                  pa.array(digests, pa.string()), pa.array(lines, pa.string())],
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
@@ -253,6 +314,6 @@ def mask(docs, patterns):
                     at = max(at, b)
                 texts[i] = "".join([*out, text[at:]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, batch.column(n).type) if n == "text" else batch.column(n) for n in names], names)
+                [pa.array(texts, batch.column("text").type) if n == "text" else _column(batch, n) for n in names], names)
 
     return common.map_batches(docs, rows, schema)

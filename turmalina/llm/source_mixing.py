@@ -144,44 +144,3 @@ def repeated(docs, **settings):
 def report(docs, **settings):
     """``doc_id, size, source_size, target, taken`` of every row, with ``whole`` and ``part``."""
     return mix(docs, **settings).select("doc.doc_id", "size", "source_size", "target", "taken", "whole", "part")
-
-
-#: ``report`` with its defaults over the table ``documents``, for DuckDB.
-SQL = r"""
-WITH sized AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-           md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
-    FROM documents),
-sources AS (
-    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-           [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
-    FROM sized GROUP BY source),
-levels AS (  -- by cap per weight: a source is clamped as long as its cap is below the level
-    SELECT *, 3 * source_size <= weight * (
-               CAST(sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER earlier, 0) AS DOUBLE)
-               / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS DOUBLE)) AS clamped
-    FROM sources
-    WINDOW earlier AS (ORDER BY 3 * source_size / weight, source NULLS LAST
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-water AS (
-    SELECT CAST(sum(source_size) - coalesce(sum(3 * source_size) FILTER (clamped), 0) AS DOUBLE)
-           / CAST(sum(weight) FILTER (NOT clamped) AS DOUBLE) AS level
-    FROM levels),
-goals AS (
-    SELECT source, source_size, CASE WHEN clamped THEN CAST(3 * source_size AS DOUBLE) ELSE weight * level END AS target
-    FROM levels, water),
-shares AS (
-    SELECT d.doc_id, d.size, g.source_size, g.target,
-           CASE WHEN g.source_size > 0 THEN CAST(floor(target) AS BIGINT) // g.source_size ELSE 0 END AS whole,
-           CASE WHEN g.source_size > 0 THEN CAST(floor(target) AS BIGINT) % g.source_size ELSE 0 END AS rest,
-           sum(d.size) OVER (PARTITION BY d.source, d.draw) AS held,
-           sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw RANGE UNBOUNDED PRECEDING) AS upto
-    FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
-parts AS (
-    SELECT *, CAST(CASE WHEN size = 0 OR rest <= upto - held THEN 0 WHEN upto <= rest THEN size
-                        ELSE size * (rest - (upto - held)) // held END AS BIGINT) AS part
-    FROM shares)
-SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken,
-       CAST(whole AS BIGINT) AS whole, part
-FROM parts
-"""
