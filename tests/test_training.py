@@ -6,10 +6,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from turmalina.functions import fixed_values as fv
+from turmalina.operators.encoding import category_table, encode, encode_out_of_fold
 from turmalina.plans.scenario import future_matrix
 from turmalina.plans.scoring import score, with_features
 from turmalina.plans.training import (
-    BandModel, TrainingOptions, evaluate, fit_features, one_hot_slot, train)
+    BandModel, TrainingOptions, evaluate, evaluate_rounds, fit_features, one_hot_slot, train)
 from turmalina.schemas import NUMERIC
 
 SMALL = TrainingOptions(rounds=4, rate=0.4, depth=3)
@@ -89,6 +90,50 @@ def test_better_than_the_class_shares(model, panel):
     assert row.N_TESTE > 30 and row.LOGLOSS < row.LOGLOSS_PARTES
 
 
+def test_bands_follow_what_makes_them(model, panel):
+    """The bands of the fixture are cut on QTD_CONC; a model that ignores its inputs fails."""
+    rows = score(panel, model).select("FAIXA_MAT", "FAIXA_DOMINANTE", "PROB_MAX").collect()
+    assert sum(r.FAIXA_MAT == r.FAIXA_DOMINANTE for r in rows) > 0.9 * len(rows)
+    assert all(1 / 3 <= r.PROB_MAX <= 1 for r in rows)
+
+
+def test_loss_by_round(model, panel):
+    """The last round's loss is the model's, each round's that of the model cut there."""
+    found = {r.RODADA: r for r in evaluate_rounds(panel, model, SMALL).collect()}
+    whole = evaluate(panel, model, SMALL).first()
+    assert sorted(found) == [1, 2, 3, 4]
+    assert abs(found[4].LOGLOSS - whole.LOGLOSS) < 1e-9 and found[4].N_TESTE == whole.N_TESTE
+    assert all(abs(r.LOGLOSS_PARTES - whole.LOGLOSS_PARTES) < 1e-9 for r in found.values())
+    assert found[4].LOGLOSS < found[1].LOGLOSS
+    first = evaluate(panel, train(panel, TrainingOptions(rounds=1, rate=0.4, depth=3)), SMALL).first()
+    assert abs(first.LOGLOSS - found[1].LOGLOSS) < 1e-9
+    with pytest.raises(ValueError):
+        evaluate_rounds(panel, train(panel, TrainingOptions(learner="forest", rounds=2)), SMALL)
+
+
+def test_shares_of_categories(spark):
+    rows = [("a", "x", 0), ("a", "y", 1), ("a", "x", 1), ("b", "y", 0), (None, "x", 0)]
+    df = spark.createDataFrame(rows, "c string, l string, _dobra int")
+    table = category_table(df, "c", "l", ["x", "y"], smoothing=1.0)
+    whole = {r.c: (r.p0, r.p1) for r in encode(df.select("c").distinct(), table, "c", "p", 2, F.array(F.lit(0.0), F.lit(0.0)))
+             .collect()}
+    assert whole["a"] == pytest.approx(((2 + .6) / 4, (1 + .4) / 4)) and whole["b"] == pytest.approx((.6 / 2, 1.4 / 2))
+    assert whole[None] == pytest.approx((1.6 / 2, .4 / 2))
+    out = sorted((r.c or "", r._dobra, r.l, round(r.p0, 9)) for r in encode_out_of_fold(df, table, "c", "p", 2, 1.0).collect())
+    assert out == [("", 0, "x", .6), ("a", 0, "x", round(1.6 / 3, 9)), ("a", 1, "x", round(1.6 / 2, 9)),
+                   ("a", 1, "y", round(1.6 / 2, 9)), ("b", 0, "y", .6)]
+
+
+def test_rare_categories_tell_no_labels(spark):
+    """A course of one row must not give its label away."""
+    rng = random.Random(8)
+    rows = [(2020, f"C{i}", "U", 1, rng.randint(0, 9), 1, 1, 1.0, 1.0, fv.BAND_LOW if rng.random() < 0.5 else fv.BAND_HIGH)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, PANEL)
+    found = evaluate(df, train(df, TrainingOptions(rounds=8, rate=0.3)), TrainingOptions()).first()
+    assert found.LOGLOSS < found.LOGLOSS_PARTES + 0.15
+
+
 def test_same_seed_same_model(model, panel):
     again = train(panel, SMALL)
     both = score(panel, model).select("*", F.col("PROB_MAX").alias("a")).drop("PROBS", "FAIXA_IDX", "FAIXA_DOMINANTE")

@@ -470,5 +470,10 @@ ORACLE = {
         f"SELECT count(*)::BIGINT AS N_TESTE, round(avg(-ln(s)), 6) AS LOGLOSS_PARTES, true AS MELHOR FROM ({SPLIT}) t "
         f"JOIN (SELECT FAIXA_MAT, count(*) / sum(count(*)) OVER () AS s FROM ({SPLIT}) WHERE NOT E_TESTE "
         "GROUP BY FAIXA_MAT) USING (FAIXA_MAT) WHERE E_TESTE"),
+    "evaluate_rounds": on_panel(
+        "SELECT RODADA::INTEGER AS RODADA, N_TESTE, LOGLOSS_PARTES, MELHOR FROM range(1, 9) r(RODADA), ("
+        f"SELECT count(*)::BIGINT AS N_TESTE, round(avg(-ln(s)), 6) AS LOGLOSS_PARTES, true AS MELHOR FROM ({SPLIT}) t "
+        f"JOIN (SELECT FAIXA_MAT, count(*) / sum(count(*)) OVER () AS s FROM ({SPLIT}) WHERE NOT E_TESTE "
+        "GROUP BY FAIXA_MAT) USING (FAIXA_MAT) WHERE E_TESTE)"),
     "model_roundtrip": on_panel("SELECT count(*)::BIGINT AS N, 0::BIGINT AS DIFERENTES FROM panel"),
 }

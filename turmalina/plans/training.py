@@ -1,18 +1,23 @@
 """Training and use of the band classifier."""
 
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from turmalina.operators.encoding import category_table, encode, encode_out_of_fold, with_fold
 from turmalina.operators.split import stratified_split, with_class_weight
 from turmalina.plans.scoring import with_features
 from turmalina.schemas import CATEGORICAL, NUMERIC, PANEL_KEYS
-from turmalina.sources.tables import load_model, save_model
+from turmalina.sources.tables import load_model, save_model, work_path, written
 
 LABEL = "FAIXA_MAT"
 
@@ -28,6 +33,8 @@ class TrainingOptions:
     rate: float = 0.006
     depth: int = 4
     min_rows: int = 2
+    bins: int = 64
+    smoothing: float = 10.0
     row_share: float = 0.95
     column_share: float = 0.95
     test_share: float = 0.2
@@ -35,7 +42,8 @@ class TrainingOptions:
 
 
 def fit_features(rows, options):
-    """Fitted encoding stages: numeric inputs, then one slot per category but the first.
+    """Fitted one-hot stages: numeric inputs, then one slot per category but the first.  The
+    learner takes label shares instead, whose number doesn't grow with the categories.
 
     A category unseen in training encodes like the first one, as all zeros.
     """
@@ -68,7 +76,7 @@ def one_hot_slot(stages, column):
 def _learner(options):
     common = dict(labelCol="label", featuresCol="features", weightCol="PESO",
                   maxDepth=options.depth, minInstancesPerNode=options.min_rows,
-                  subsamplingRate=options.row_share, seed=options.seed)
+                  subsamplingRate=options.row_share, maxBins=options.bins, seed=options.seed)
     if options.learner == "forest":
         return RandomForestClassifier(numTrees=options.rounds, **common)
     if options.learner != "boosted":
@@ -83,41 +91,61 @@ def split_panel(panel, options=None):
     return stratified_split(panel, LABEL, PANEL_KEYS, options.test_share, options.seed)
 
 
+def _inputs(numeric, categorical, size):
+    return [*numeric, *[f"_{c}_{k}" for c in categorical for k in range(size)]]
+
+
 def train(panel, options=None):
     """Fit the classifier on the training part of the panel.
 
-    Encoders see all rows; the trees see the training part with balanced class weights.
-    Boosting is one binary fit per band, run side by side.
+    A category enters as the label shares of its training rows (``operators.encoding``), out of
+    fold for the training rows themselves, so a tree looks at a few bins per column however many
+    courses there are.  The trees see balanced class weights.  Boosting is one binary fit per
+    band, run side by side; all read one written copy of the encoded rows.
     """
     options = options or TrainingOptions()
     rows = with_features(panel, options.numeric)
+    spark = rows.sparkSession
     labels = StringIndexer(inputCol=LABEL, outputCol="label",
                            stringOrderType="alphabetAsc").fit(rows)
-    if len(labels.labels) < 2:
+    size = len(labels.labels)
+    if size < 2:
         raise ValueError("the panel holds one band only; nothing can be learnt")
-    encoders = fit_features(rows, options)
-    training = with_class_weight(split_panel(rows, options).filter("NOT E_TESTE"), LABEL)
-    encoded = PipelineModel([labels, *encoders]).transform(training) \
-        .select("label", "features", "PESO")
     learner = _learner(options)
+    training = with_class_weight(split_panel(rows, options).filter("NOT E_TESTE"), LABEL)
+    training = with_fold(training, PANEL_KEYS, seed=options.seed)
+    tables = {c: written(category_table(training, c, LABEL, labels.labels, options.smoothing), f"categories-{c}")
+              for c in options.categorical}
+    encoded = training
+    for c, table in tables.items():
+        encoded = encode_out_of_fold(encoded, table, c, f"_{c}_", size, options.smoothing)
+    assembler = VectorAssembler(inputCols=_inputs(options.numeric, options.categorical, size), outputCol="features")
+    encoded = written(PipelineModel([labels, assembler]).transform(encoded).select("label", "features", "PESO"),
+                      "encoded")
     if options.learner == "boosted":
         learner = OneVsRest(classifier=learner, labelCol="label", featuresCol="features",
-                            weightCol="PESO", parallelism=len(labels.labels))
-    return BandModel(PipelineModel([labels, *encoders, learner.fit(encoded)]), options.numeric)
+                            weightCol="PESO", parallelism=size)
+    tables = {c: table.select("VALOR", "PARTES") for c, table in tables.items()}
+    return BandModel(PipelineModel([labels, assembler, learner.fit(encoded)]), tables, spark)
 
 
 class BandModel:
     """A fitted classifier as a scorer."""
 
-    def __init__(self, pipeline, numeric=None):
-        self.pipeline = pipeline
-        self.numeric = numeric or NUMERIC
+    def __init__(self, pipeline, tables, spark):
+        self.pipeline, self.tables = pipeline, tables
         self.classes = list(pipeline.stages[0].labels)
+        self.numeric = [c for c in pipeline.stages[1].getInputCols() if not c.startswith("_")]
+        # A category that was not learnt counts as the first one, as where all its slots are zero.
+        self.absent = {c: F.array(*map(F.lit, table.agg(F.min_by("PARTES", "VALOR")).first()[0]))
+                       for c, table in tables.items()}
 
     def features(self, df):
         """Rows with the assembled ``features`` vector."""
-        encoders = PipelineModel(self.pipeline.stages[1:-1])
-        return encoders.transform(with_features(df, self.numeric))
+        rows = with_features(df, self.numeric)
+        for c, table in self.tables.items():
+            rows = encode(rows, table, c, f"_{c}_", len(self.classes), self.absent[c])
+        return self.pipeline.stages[1].transform(rows)
 
     def score(self, df):
         """Add ``PROBS``, one probability per class, summing to 1."""
@@ -139,29 +167,127 @@ class BandModel:
         return rows.select(*df.columns, "PROBS")
 
     def save(self, path):
-        save_model(self.pipeline, path)
+        save_model(self.pipeline, f"{path}/pipeline")
+        for c, table in self.tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/categories/{c}")
 
     @classmethod
-    def load(cls, path):
-        pipeline = load_model(path)
-        assembler = pipeline.stages[-2]
-        return cls(pipeline, [c for c in assembler.getInputCols() if not c.startswith("_")])
+    def load(cls, path, spark=None):
+        spark = spark or SparkSession.active()
+        pipeline = load_model(f"{path}/pipeline")
+        coded = dict.fromkeys(c[1:].rsplit("_", 1)[0] for c in pipeline.stages[1].getInputCols() if c.startswith("_"))
+        return cls(pipeline, {c: spark.read.parquet(f"{path}/categories/{c}") for c in coded}, spark)
 
 
-def evaluate(panel, model, options=None):
-    """Log-loss on the held-out part, beside that of always telling the class shares."""
-    rows = split_panel(panel, options)
-    # The shares of the training part; one entry per class.
+def _share_loss(rows):
+    """A column: the loss of always telling the class shares of the training part."""
+    # One entry per class.
     shares = rows.filter("NOT E_TESTE").groupBy(LABEL).agg(F.count("*").alias("n")).agg(
         F.map_from_entries(F.collect_list(F.struct(LABEL, "n"))).alias("m"),
         F.sum("n").alias("t")).select(F.struct("m", "t")).scalar()
+    return shares, F.element_at(F.col("_s.m"), F.col(LABEL)) / F.col("_s.t")
+
+
+def _loss(p):
+    return -F.ln(F.greatest(p, F.lit(1e-15)))
+
+
+def evaluate(panel, model, options=None):
+    """Log-loss on the held-out part, beside that of always telling the class shares."""
+    rows = split_panel(panel, options)
+    shares, prior = _share_loss(rows)
     names = F.array(*[F.lit(c) for c in model.classes])
     scored = model.score(rows.filter("E_TESTE")).withColumn("_s", shares)
     told = F.element_at("PROBS", F.array_position(names, F.col(LABEL)).cast("int"))
-    prior = F.element_at(F.col("_s.m"), F.col(LABEL)) / F.col("_s.t")
+    return scored.agg(F.count("*").alias("N_TESTE"), F.avg(_loss(told)).alias("LOGLOSS"),
+                      F.avg(_loss(prior)).alias("LOGLOSS_PARTES"))
+
+
+def boosted_trees(model):
+    """The trees of a boosted model as a table: class, round, tree weight, and the nodes."""
+    binaries = model.pipeline.stages[-1]
+    if not isinstance(binaries, OneVsRestModel):
+        raise ValueError("only a boosted model has rounds")
+    tables = []
+    for k, binary in enumerate(binaries.models):
+        spark = SparkSession.active()
+        path = work_path(spark, f"trees-{k}")
+        binary.write().overwrite().save(path)
+        nodes = spark.read.parquet(f"{path}/data").groupBy("treeID").agg(F.array_sort(F.collect_list(F.struct(
+            F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
+            F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")))).alias("nodes"))
+        weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "_meta", "weight")
+        tables.append(nodes.join(weights, "treeID").select(F.lit(k).alias("k"), "treeID", "weight", "nodes"))
+    return reduce(lambda a, b: a.union(b), tables)
+
+
+class _Rounds:
+    """All rounds' trees as arrays, node by node; their size is rounds x classes x 2 ** depth."""
+
+    def __init__(self, trees, size):
+        trees = trees.orderBy("k", "treeID").collect()
+        width = max(len(t["nodes"]) for t in trees)
+        self.size, self.rounds = size, len(trees) // size
+        shape = (len(trees), width)
+        self.feature, self.left, self.right = (np.zeros(shape, np.int32) for _ in range(3))
+        self.threshold, self.value = np.zeros(shape), np.zeros(shape)
+        for i, t in enumerate(trees):
+            for n in t["nodes"]:
+                leaf = n["left"] < 0
+                self.feature[i, n["id"]] = 0 if leaf else n["feature"]
+                self.threshold[i, n["id"]] = 0 if leaf else n["threshold"]
+                self.left[i, n["id"]] = n["id"] if leaf else n["left"]
+                self.right[i, n["id"]] = n["id"] if leaf else n["right"]
+                self.value[i, n["id"]] = n["value"] * t["weight"]
+        self.depth = max(1, width.bit_length())
+
+    def losses(self, features, label):
+        """The rows' summed log-loss after each round."""
+        rows, loss = np.arange(len(features)), []
+        margin = np.zeros((self.size, len(features)))
+        for r in range(self.rounds):
+            for k in range(self.size):
+                t = k * self.rounds + r
+                at = np.zeros(len(features), np.int32)
+                for _ in range(self.depth):
+                    low = features[rows, self.feature[t][at]] <= self.threshold[t][at]
+                    at = np.where(low, self.left[t][at], self.right[t][at])
+                margin[k] += self.value[t][at]
+            raw = 1 / (1 + np.exp(-2 * margin))
+            told = raw[label, rows] / raw.sum(0)
+            loss.append(-np.log(np.maximum(told, 1e-15)).sum())
+        return loss
+
+
+def evaluate_rounds(panel, model, options=None):
+    """One row per boosting round: test rows, log-loss after that round, and that of always
+    telling the class shares.
+
+    The test part is read once: a task follows the trees in order, keeps the running margins of
+    its rows, and hands on one sum per round.
+    """
+    rows = split_panel(panel, options)
+    spark = rows.sparkSession
+    shares, prior = _share_loss(rows)
+    trees = spark.sparkContext.broadcast(_Rounds(boosted_trees(model), len(model.classes)))
+    names = F.array(*[F.lit(c) for c in model.classes])
+    test = model.features(rows.filter("E_TESTE")).withColumn("_s", shares).select(
+        vector_to_array("features").alias("features"), _loss(prior).alias("prior"),
+        (F.array_position(names, F.col(LABEL)) - 1).cast("int").alias("label"))
 
-    def loss(p):
-        return F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))
+    def staged(batches):
+        for batch in batches:
+            if batch.num_rows:
+                features = np.array(batch.column("features").to_pylist())
+                loss = trees.value.losses(features, batch.column("label").to_numpy())
+                n = len(loss)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(1, n + 1), pa.int32()), pa.array([batch.num_rows] * n, pa.int64()), pa.array(loss),
+                     pa.array([float(np.sum(batch.column("prior").to_numpy()))] * n)], ["RODADA", "n", "loss", "prior"])
 
-    return scored.agg(F.count("*").alias("N_TESTE"), loss(told).alias("LOGLOSS"),
-                      loss(prior).alias("LOGLOSS_PARTES"))
+    sums = test.mapInArrow(staged, "RODADA int, n bigint, loss double, prior double")
+    return sums.groupBy("RODADA").agg(
+        F.sum("n").alias("N_TESTE"), (F.sum("loss") / F.sum("n")).alias("LOGLOSS"),
+        (F.sum("prior") / F.sum("n")).alias("LOGLOSS_PARTES"))

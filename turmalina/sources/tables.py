@@ -109,3 +109,10 @@ def work_path(spark, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/turmalina/{name}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix="turmalina-"), name)
+
+
+def written(df, name: str):
+    """``df`` written to a new path and read back; later steps start from the files."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
