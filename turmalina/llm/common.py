@@ -1,5 +1,6 @@
 """Helpers the operators share: tables, shared written hand-offs, Arrow text batches."""
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -88,6 +89,19 @@ def release():
         trim(0)
 
 
+@contextlib.contextmanager
+def small_batches(spark, rows: int):
+    """Within, Arrow batches have ``rows`` rows at most: for rows of many kilobytes, whose batches a
+    task and its worker would else each hold several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_batches(df, function, schema: str):
     """``function(batches) -> batches`` over Arrow record batches, one call per partition."""
     ship(df.sparkSession)
