@@ -234,7 +234,7 @@ def test_impact_order_breaks_ties_by_name(spark):
 
 def test_impact_list_per_row(spark):
     rows = score(with_features(panel(spark)), fixed_scorer())
-    listed = with_impacts(rows, fixed_scorer(), ["ANO", "CURSO", "UNIDADE"])
+    listed = with_impacts(rows, fixed_scorer())
     assert listed.count() == 6 and listed.agg(F.min(F.size("IMPACTOS"))).first()[0] == 6
 
 

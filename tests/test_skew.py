@@ -50,3 +50,13 @@ def test_hot_keys_without_broadcast(spark, skewed, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for bad in ("BroadcastHashJoin", "NestedLoop", "CartesianProduct"):
         assert bad not in plan, bad
+
+
+def test_hot_partitions_are_split(spark, skewed):
+    """At least the join of the lines with their hot part is read in several pieces."""
+    lines = spark.read.parquet(f"{skewed}/lineitem.parquet").select("l_partkey", "l_linenumber", "l_extendedprice")
+    parts = spark.read.parquet(f"{skewed}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    joined = lines.repartition(4, "l_linenumber").join(parts, "l_partkey")
+    rows = joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == lines.count() and ("skew=true" in plan or "skewed" in plan)

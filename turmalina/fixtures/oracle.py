@@ -4,6 +4,7 @@ The SQL joins row by row, with every repetition carried out, and scores with the
 weights spelled out; it shares no shortcut with the library.
 """
 
+from turmalina.fixtures import names
 from turmalina.fixtures.queries import (
     EDITS, NATION_ACCENTS, PART_ARMS, PART_RULES, TEXT_CLASSES, TEXT_REPAIRS)
 from turmalina.fixtures.scorer import CLASSES, SCALES, WEIGHTS
@@ -318,6 +319,12 @@ CODE = r"regexp_extract(html, '(\d{4}\s*-\s*\d{2}|\d{6}|\d{4})', 1)"
 SPLIT = ("SELECT *, row_number() OVER (PARTITION BY FAIXA_MAT ORDER BY md5('123|' || ANO || '|' || CURSO || '|' || "
          "UNIDADE)) <= round(0.2 * count(*) OVER (PARTITION BY FAIXA_MAT)) AS E_TESTE FROM panel")
 
+REAL, REAL_NAME = rules_sql(
+    "SELECT NOME, count(*) AS n FROM (" + names.with_names_sql("lineitem", "l_partkey", names.RULE_TEXTS)
+    + ") GROUP BY NOME", "NOME", fv.SCRAPED_INSTITUTIONS)
+REAL_PART, REAL_PART_NAME = rules_sql(
+    names.with_names_sql("part", "p_partkey", names.RULE_TEXTS), "NOME", fv.SCRAPED_INSTITUTIONS)
+
 ORACLE = {
     "key_normalise": "SELECT doc_id, upper(regexp_replace(strip_accents(coalesce(text, '')), "
                      "'[^0-9A-Za-z]+', '', 'g')) AS CHAVE FROM documents",
@@ -470,6 +477,35 @@ ORACLE = {
         f"SELECT count(*)::BIGINT AS N_TESTE, round(avg(-ln(s)), 6) AS LOGLOSS_PARTES, true AS MELHOR FROM ({SPLIT}) t "
         f"JOIN (SELECT FAIXA_MAT, count(*) / sum(count(*)) OVER () AS s FROM ({SPLIT}) WHERE NOT E_TESTE "
         "GROUP BY FAIXA_MAT) USING (FAIXA_MAT) WHERE E_TESTE"),
+    "institutions_scraped": f"SELECT NOME, {REAL_NAME} AS INSTITUICAO, sum(n)::BIGINT AS N FROM ({REAL}) GROUP BY ALL",
+    "institutions_scraped_column": f"SELECT p_partkey, {REAL_PART_NAME} AS INSTITUICAO FROM ({REAL_PART})",
+    "institutions_census": f"SELECT p_partkey, {arms_sql('NOME', fv.CENSUS_INSTITUTIONS)} AS INSTITUICAO FROM "
+                           f"({names.with_names_sql('part', 'p_partkey', names.ARM_TEXTS)})",
+    "unit_sites": (
+        "SELECT c_custkey, CASE u " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in fv.UNIT_RECODE.items())
+        + " ELSE u END AS UNIDADE FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(s, '^SENAI\\s+', ''), "
+        r"'\bDENDEZEIROS\b|\bCIMATEC\b', 'SALVADOR', 'g')) AS u FROM (SELECT c_custkey, "
+        + names.listed_sql(names.SITES, "c_custkey") + " || ' ' || c_mktsegment AS s FROM customer))"),
+    "city_recode": (
+        "SELECT CASE c " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in fv.CITY_RECODE.items())
+        + " ELSE c END AS CIDADE, count(*) AS N, round(sum(c_acctbal::DECIMAL(18, 2)), 2)::DOUBLE AS SALDO FROM (SELECT *, "
+        + names.listed_sql(names.CITIES, "c_custkey") + " AS c FROM customer) GROUP BY ALL"),
+    "vector_nan": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CASE WHEN x < 0 THEN 0 ELSE x::DOUBLE END)), 4) "
+                  "AS SOMA, len(list_filter(embedding, lambda x: x <= 0))::INTEGER AS ZEROS FROM embeddings",
+    "trimmed_columns": "SELECT n_regionkey, count(*) AS N, min(n_name) AS PRIMEIRA FROM nation GROUP BY ALL",
+    "ready_feed": on_panel("SELECT DISTINCT p.ANO, p.UNIDADE, f.QTD_EMPRESAS FROM panel p JOIN firms f USING (ANO, UNIDADE) "
+                           "WHERE f.QTD_EMPRESAS > 0"),
+    "empty_selection": on_panel(
+        "SELECT s || ' panel' AS SELECAO, (SELECT count(*) FROM panel WHERE UNIDADE = u AND CURSO = coalesce(c, CURSO)) AS N "
+        "FROM sel UNION ALL SELECT s || ' history', (SELECT count(DISTINCT CURSO) * (SELECT count(DISTINCT ANO) FROM panel) "
+        "FROM panel WHERE UNIDADE = u AND CURSO = coalesce(c, CURSO)) FROM sel UNION ALL SELECT s || ' future', "
+        "(SELECT count(DISTINCT CURSO) FROM panel WHERE UNIDADE = u AND CURSO = coalesce(c, CURSO)) FROM sel").replace(
+            "WITH ", "WITH sel(s, u, c) AS (VALUES ('ASIA None', 'ASIA', NULL), ('NOWHERE None', 'NOWHERE', NULL), "
+            "('ASIA NOTHING', 'ASIA', 'NOTHING')), ", 1),
+    "folder_drift": "SELECT c_custkey::VARCHAR AS k, NULL::VARCHAR AS nome, c_acctbal AS saldo, c_nationkey::BIGINT AS nacao "
+                    "FROM customer UNION ALL SELECT s_suppkey::VARCHAR, s_name, s_acctbal, s_nationkey FROM supplier",
+    "panel_refresh": on_panel("SELECT ANO, CURSO, UNIDADE, CASE WHEN ANO = 1998 THEN -MAT_PAG ELSE MAT_PAG END AS MAT_PAG "
+                              "FROM panel"),
     "evaluate_rounds": on_panel(
         "SELECT RODADA::INTEGER AS RODADA, N_TESTE, LOGLOSS_PARTES, MELHOR FROM range(1, 9) r(RODADA), ("
         f"SELECT count(*)::BIGINT AS N_TESTE, round(avg(-ln(s)), 6) AS LOGLOSS_PARTES, true AS MELHOR FROM ({SPLIT}) t "

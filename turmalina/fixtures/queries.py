@@ -4,13 +4,17 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turmalina import app
+from turmalina.fixtures import names
 from turmalina.fixtures.jobs import Jobs
 from turmalina.fixtures.scorer import fixed_scorer
 from turmalina.fixtures.shared import written
 from turmalina.fixtures.tables import TABLES, WAGES, YEARS, table
+from turmalina.functions import fixed_values as fv
 from turmalina.functions import measures, text
 from turmalina.operators import latest
 from turmalina.operators.lines import explode_lines
+from turmalina.operators.rules import canonical_names
 from turmalina.operators.split import class_weights
 from turmalina.plans import catalogue, competitors, decision, enrolment, labour, scenario, whatif
 from turmalina.plans.scoring import cell_label, score, sensitivity, with_features, with_impacts
@@ -111,8 +115,71 @@ def age_band(spark, sf):
         "p_partkey", measures.age_band(F.col("p_size")).alias("FAIXA_ETARIA"))
 
 
+def institutions_scraped(spark, sf):
+    """The rule table of the scraped names, on the dictionary of names."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    named = names.with_names(lines, "l_partkey", names.RULE_TEXTS)
+    done = canonical_names(named, "NOME", fv.SCRAPED_INSTITUTIONS, "INSTITUICAO")
+    return done.groupBy("NOME", "INSTITUICAO").agg(F.count("*").alias("N"))
+
+
+def institutions_scraped_column(spark, sf):
+    """The same table as one expression."""
+    named = names.with_names(table(spark, sf, "part").select("p_partkey"), "p_partkey", names.RULE_TEXTS)
+    return named.select("p_partkey", text.ordered_rules(F.col("NOME")).alias("INSTITUICAO"))
+
+
+def institutions_census(spark, sf):
+    named = names.with_names(table(spark, sf, "part").select("p_partkey"), "p_partkey", names.ARM_TEXTS)
+    return named.select("p_partkey", text.first_match(F.col("NOME")).alias("INSTITUICAO"))
+
+
+def unit_sites(spark, sf):
+    """Word-bounded recode: only whole words are sites of the capital."""
+    rows = table(spark, sf, "customer").withColumn("SITIO", F.concat(
+        names.listed(names.SITES, F.col("c_custkey")), F.lit(" "), F.col("c_mktsegment")))
+    unit = text.recode(text.strip_unit_name(F.col("SITIO")), fv.UNIT_RECODE)
+    return rows.select("c_custkey", unit.alias("UNIDADE"))
+
+
+def city_recode(spark, sf):
+    cities = table(spark, sf, "customer").withColumn("CIDADE", names.listed(names.CITIES, F.col("c_custkey")))
+    return cities.groupBy(text.recode(F.col("CIDADE"), fv.CITY_RECODE).alias("CIDADE")).agg(
+        F.count("*").alias("N"), F.sum("c_acctbal").cast("decimal(18,2)").cast("double").alias("SALDO"))
+
+
+def vector_nan(spark, sf):
+    """A vector with NaN entries, as a scorer may give, counts them as 0."""
+    nan = F.lit(float("nan"))
+    rows = io.read_table(spark, f"{sf}/embeddings.parquet").withColumn("v", F.transform(
+        "embedding", lambda x: F.when(x < 0, nan).otherwise(x.cast("double"))))
+    done = rows.withColumn("v", measures.finite(F.col("v")))
+    return done.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("SOMA"),
+                       F.size(F.filter("v", lambda x: x == 0)).alias("ZEROS"))
+
+
 # ---- sources ----------------------------------------------------------------
 
+def trimmed_columns(spark, sf):
+    """Column names with blanks around them, as a cube exports them."""
+    nation = table(spark, sf, "nation").toDF(" n_nationkey", "n_name ", "\tn_regionkey\n")
+    return io.trim_column_names(nation).groupBy("n_regionkey").agg(
+        F.count("n_nationkey").alias("N"), F.min("n_name").alias("PRIMEIRA"))
+
+
+def ready_feed(spark, sf):
+    """A conformed feed written by one job and taken as it is by the panel of another."""
+    folder = io.work_path(spark, "ready")
+    jobs = Jobs(spark, sf)
+    jobs.establishments().write.parquet(f"{folder}/establishments")
+    ready = app.read_ready(spark, folder)
+    raw = {n: getattr(jobs.feeds, n)() for n in ("municipality_unit", "territory", "school_census_raw", "enrolment_cube",
+                                                 "competitors_scraped", "course_catalogue", "job_flow_raw", "job_links_raw",
+                                                 "benefit_raw")}
+    rows = app.panel_from_feeds(raw, ready, dedupe=True)
+    return rows.filter("QTD_EMPRESAS > 0").select("ANO", "UNIDADE", "QTD_EMPRESAS").distinct().orderBy("ANO", "UNIDADE")
+
+
 def folder_union(spark, sf):
     schema = T.StructType(
         [f for name in ("customer", "supplier")
@@ -120,6 +187,28 @@ def folder_union(spark, sf):
     return io.read_folder(spark, sf, "{customer,supplier}.parquet", schema)
 
 
+def folder_drift(spark, sf):
+    """Files of one folder whose columns differ in type and presence."""
+    wanted = T.StructType.fromDDL("k string, nome string, saldo double, nacao long")
+    folder = io.work_path(spark, "drift")
+    for i, name in enumerate(("customer", "supplier")):
+        rows, p = table(spark, sf, name), name[0]
+        key = F.col(f"{p}_{'cust' if i == 0 else 'supp'}key")
+        columns = [key.cast("string" if i else "long").alias("k"), F.col(f"{p}_acctbal").cast("string" if i else "double").alias("saldo"),
+                   F.col(f"{p}_nationkey").alias("nacao")] + ([F.col(f"{p}_name").alias("nome")] if i else [])
+        rows.select(*columns).write.parquet(f"{folder}/{name}")
+    return io.read_drifting(spark, folder, "*/*.parquet", wanted)
+
+
+def panel_refresh(spark, sf):
+    """One year's folder written anew; the years beside it stay as they were."""
+    path = io.work_path(spark, "refresh")
+    df = written_panel(spark, sf)
+    io.write_panel(df, path)
+    io.write_panel(df.withColumn("MAT_PAG", -F.col("MAT_PAG")), path, years=[1998])
+    return io.read_panel(spark, path).select("ANO", "CURSO", "UNIDADE", "MAT_PAG")
+
+
 def sql_query(spark, sf):
     return io.run_query(spark, """
         SELECT year(o_orderdate) AS ANO, o_orderstatus AS SITUACAO, count(*) AS N,
@@ -293,6 +382,21 @@ def context_table(spark, sf):
     return decision.context_table(written_panel(spark, sf), unit="ASIA", course="GLOBAL", year="TODOS")
 
 
+def empty_selection(spark, sf):
+    """Selections with and without rows: no rows in, no rows out, of every table."""
+    df = written_panel(spark, sf)
+    counts = []
+    for unit, course in (("ASIA", None), ("NOWHERE", None), ("ASIA", "NOTHING")):
+        chosen = scenario.choose(df, UNIDADE=unit, CURSO=course)
+        counts += [
+            chosen.agg(F.count("*").alias("N")).select(F.lit(f"{unit} {course} panel").alias("SELECAO"), "N"),
+            scenario.probability_history(df, fixed_scorer(), unit, course).agg(F.count("*").alias("N"))
+            .select(F.lit(f"{unit} {course} history").alias("SELECAO"), "N"),
+            scenario.future_base(chosen).agg(F.count("*").alias("N"))
+            .select(F.lit(f"{unit} {course} future").alias("SELECAO"), "N")]
+    return io.union_by_name(*counts)
+
+
 # ---- scoring ----------------------------------------------------------------
 
 def _probabilities(df):
@@ -376,7 +480,7 @@ def _latest_with_impacts(spark, sf):
     required = CATEGORICAL + NUMERIC
     rows = whatif.whatif(written_panel(spark, sf), fixed_scorer(), _edits())
     rows = rows.drop("CURSO_SEL", *[c for c in PANEL_COLUMNS if c not in required])
-    return with_impacts(rows, fixed_scorer(), ["UNIDADE", "CURSO"])
+    return with_impacts(rows, fixed_scorer())
 
 
 def sensitivity_query(spark, sf):
@@ -566,6 +670,17 @@ QUERIES = {
     "train_and_score": train_and_score,
     "evaluate": evaluate_query,
     "model_roundtrip": model_roundtrip,
+    "institutions_scraped": institutions_scraped,
+    "institutions_scraped_column": institutions_scraped_column,
+    "institutions_census": institutions_census,
+    "unit_sites": unit_sites,
+    "city_recode": city_recode,
+    "vector_nan": vector_nan,
+    "trimmed_columns": trimmed_columns,
+    "ready_feed": ready_feed,
+    "empty_selection": empty_selection,
+    "folder_drift": folder_drift,
+    "panel_refresh": panel_refresh,
     "fitted_bands": fitted_bands,
     "evaluate_rounds": evaluate_rounds_query,
     "loss_by_round": loss_by_round,

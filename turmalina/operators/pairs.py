@@ -9,6 +9,12 @@ equal slots.  Neither side is gathered in one task.
 from pyspark.sql import functions as F
 
 
+def pair_keys(left, right, right_key: str):
+    """Each left key with each right key, keys only: how much is moved per pair does not depend on
+    what is known of either side.  Measures are looked up afterwards, a side at a time."""
+    return pair_grid(left, right, right_key)
+
+
 def pair_grid(left, right, right_key, slots: int | None = None):
     """Each left row with each right row; ``right_key`` must be unique on the right.
 

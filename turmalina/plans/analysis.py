@@ -33,8 +33,8 @@ def selection_report(panel, scorer, unit, course=scenario.GLOBAL, year="TODOS",
     real = score(with_features(whatif.real_rows(panel, **picked)), scorer)
     edited = whatif.apply_edits(whatif.real_rows(panel, **picked), edits)
     simulated = score(with_features(edited), scorer)
-    real_impacts = with_impacts(_lean(real), scorer, KEYS)
-    sim_impacts = with_impacts(_lean(simulated), scorer, KEYS)
+    real_impacts = with_impacts(_lean(real), scorer)
+    sim_impacts = with_impacts(_lean(simulated), scorer)
     across = whatif.whatif_courses(panel, edited, scorer, future_year)
     return {
         "real": band_columns(real, scorer),

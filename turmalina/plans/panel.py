@@ -18,6 +18,12 @@ def _grouped(df, keys, rows, **sums):
         F.count("*").alias(rows), *[F.sum(c).alias(name) for name, c in sums.items()])
 
 
+def spread_nulls(key, by):
+    """A join key whose nulls have values of their own that nothing else has, so that the rows of
+    an outer join that find no partner don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*by).cast("string")))
+
+
 def build_panel(enrolments, establishments, course_occupation, job_flow, job_links,
                 competitors, benefit, dedupe: bool = False):
     """Join the feeds, aggregate, and band the enrolments.
@@ -46,7 +52,7 @@ def build_panel(enrolments, establishments, course_occupation, job_flow, job_lin
     # Codes come without dashes already; the family is kept for the key's sake.
     by_occupation = (base.join(occupations, "CURSO", "left")
                      .withColumn("CBO", F.replace(occupation_family("CBO"), F.lit("-"), F.lit("")))
-                     .withColumn("CBO_UNIDADE", F.concat("CBO", "UNIDADE"))
+                     .withColumn("CBO_UNIDADE", spread_nulls(F.concat("CBO", "UNIDADE"), PANEL_KEYS))
                      .join(flow, OCCUPATION, "left").join(links, OCCUPATION, "left"))
     n_flow, n_link = times("_n_flow"), times("_n_link")
     by_key = by_occupation.groupBy(*PANEL_KEYS).agg(

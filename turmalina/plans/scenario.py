@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from turmalina.functions import fixed_values as fv
-from turmalina.operators.latest import latest_per
-from turmalina.operators.pairs import pair_grid
+from turmalina.operators.latest import latest_numbers_per, latest_per
+from turmalina.operators.median import exact_median
+from turmalina.operators.pairs import pair_keys
 from turmalina.plans.scoring import band_columns, cell_label, score, with_features
 from turmalina.schemas import NUMERIC
 
@@ -67,7 +68,7 @@ def scenario_rows(rows, year=fv.FUTURE_YEAR, scenarios=tuple(fv.SCENARIOS)):
 
 def course_medians(panel):
     """Exact median competitor count of each course over all units and years."""
-    return panel.groupBy("CURSO").agg(F.median("QTD_CONC").alias("QTD_CONC_MEDIANA"))
+    return exact_median(panel, ["CURSO"], "QTD_CONC", "QTD_CONC_MEDIANA")
 
 
 def course_stats(panel):
@@ -78,27 +79,23 @@ def course_stats(panel):
 
 def future_base(panel, units=None):
     """One row per unit and course: its last record, or the unit's last record with the
-    course's median competitor count where the pair was never offered."""
+    course's median competitor count where the pair was never offered.
+
+    The pairs never offered are the keys of the grid without those of the panel; a side's
+    measures are looked up for them by its own key alone.
+    """
     chosen = panel if units is None else panel.filter(F.col("UNIDADE").isin(list(units)))
     chosen = chosen.select("UNIDADE", "CURSO", *NUMERIC)
-    measures = F.struct(*MEASURES)
-    order = F.struct(*LAST)
-    last_of_pair = chosen.groupBy("UNIDADE", "CURSO").agg(
-        F.max_by(measures, order).alias("_par"), F.max(order).alias("_ordem"))
-    last_of_unit = last_of_pair.groupBy("UNIDADE").agg(
-        F.max_by("_par", "_ordem").alias("_unidade"))
-    grid = pair_grid(last_of_unit, course_medians(panel), "CURSO")
-    placed = grid.join(last_of_pair.drop("_ordem"), ["UNIDADE", "CURSO"], "left")
-    known = F.col("_par").isNotNull()
-
-    def measure(name):
-        if name == "QTD_CONC":
-            return F.when(known, F.col("_par.QTD_CONC").cast("double")) \
-                .otherwise(F.col("QTD_CONC_MEDIANA"))
-        return F.when(known, F.col(f"_par.{name}")).otherwise(F.col(f"_unidade.{name}"))
-
-    return placed.select("UNIDADE", "CURSO", *[measure(m).cast("double").alias(m) for m in MEASURES],
-                         known.alias("HISTORICO_NA_UNIDADE"))
+    of_pair = latest_numbers_per(chosen, ["UNIDADE", "CURSO"], MEASURES)
+    of_unit = latest_per(of_pair, ["UNIDADE"], ["ANO", "CURSO"]).drop("ANO", "CURSO", "QTD_CONC")
+    medians = course_medians(panel)
+    doubles = [F.col(m).cast("double").alias(m) for m in MEASURES]
+    known = of_pair.join(medians.select("CURSO"), "CURSO", "left_semi").select(
+        "UNIDADE", "CURSO", *doubles, F.lit(True).alias("HISTORICO_NA_UNIDADE"))
+    keys = pair_keys(of_unit.select("UNIDADE"), medians.select("CURSO"), "CURSO")
+    never = keys.join(of_pair.select("UNIDADE", "CURSO"), ["UNIDADE", "CURSO"], "left_anti")
+    filled = never.join(of_unit, "UNIDADE").join(medians.withColumnRenamed("QTD_CONC_MEDIANA", "QTD_CONC"), "CURSO")
+    return known.unionByName(filled.select("UNIDADE", "CURSO", *doubles, F.lit(False).alias("HISTORICO_NA_UNIDADE")))
 
 
 def future_matrix(panel, scorer, year=fv.FUTURE_YEAR, scenarios=tuple(fv.SCENARIOS), units=None):

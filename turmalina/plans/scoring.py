@@ -1,8 +1,8 @@
 """Scoring of rows and local sensitivity.
 
 A *scorer* is any object with ``classes`` (class names in the order of its probabilities)
-and ``score(df)``, which adds ``PROBS array<double>``.  It works row by row, so scoring
-never moves data: several scorings of one row are stacked as projections.
+and ``score(df)``, which adds ``PROBS array<double>``.  It works row by row; several scorings of one
+row are stacked as projections of it.
 """
 
 from pyspark.sql import functions as F
@@ -46,35 +46,34 @@ def shocked(c, delta=0.10, epsilon=1.0):
     return F.when(c > 0, c * (1 + delta)).otherwise(F.lit(epsilon))
 
 
-def shocked_rows(df, scorer, variables=None, delta=0.10, epsilon=1.0, band_index=None):
-    """Each scored row once per variable, with ``VARIAVEL`` and ``IMPACTO``: how far the
-    shocked variable moves the probability of a band.
+def with_impacts(df, scorer, variables=None, delta=0.10, epsilon=1.0, band_index=None):
+    """Scored rows with ``IMPACTOS``, one (``VARIAVEL``, ``IMPACTO``) per variable the rows have:
+    how far the shocked variable moves the probability of a band.
 
-    The band is the row's dominant one unless ``band_index`` names a column or constant.
-    The unshocked probability travels with the row, so there is no join back.
+    The band is the row's dominant one unless ``band_index`` names a column or constant.  Every
+    variable is one more projection of the same row: nothing is copied, moved or regrouped.  A
+    scorer's ``prepare`` adds once what all its scorings need.
     """
     variables = [v for v in (variables or NUMERIC) if v in df.columns]
     index = F.col("FAIXA_IDX") if band_index is None else (
         F.col(band_index) if isinstance(band_index, str) else F.lit(band_index))
-    trials = df.select(
-        "*", F.struct("*").alias("_linha"), index.alias("_i"),
-        F.element_at("PROBS", index + 1).alias("_antes"),
-        F.explode(F.array(*[F.lit(v) for v in variables])).alias("VARIAVEL")).drop(*OUTCOME)
-    trials = trials.withColumns({
-        v: F.when(F.col("VARIAVEL") == v, shocked(F.col(v).cast("double"), delta, epsilon))
-        .otherwise(F.col(v).cast("double")) for v in variables})
-    after = F.element_at(finite(F.col("PROBS")), F.col("_i") + 1)
-    return scorer.score(trials).select(
-        *[F.col(f"_linha.{c}").alias(c) for c in df.columns], "VARIAVEL",
-        (after - F.col("_antes")).alias("IMPACTO"))
-
-
-def with_impacts(df, scorer, keys, **options):
-    """Scored rows with ``IMPACTOS``, the list of their impacts; ``keys`` identify a row."""
-    kept = [c for c in df.columns if c not in keys]
-    return shocked_rows(df, scorer, **options).groupBy(*keys).agg(
-        *[F.any_value(c).alias(c) for c in kept],
-        F.collect_list(F.struct("VARIAVEL", "IMPACTO")).alias("IMPACTOS"))
+    rows = df.withColumns({"_i": index + 1, "_antes": F.element_at("PROBS", index + 1)})
+    rows = rows.withColumnsRenamed({c: f"_fora_{c}" for c in OUTCOME}).withColumns(
+        {f"_fora_{v}": F.col(v) for v in variables})
+    rows = getattr(scorer, "prepare", lambda x: x)(rows.withColumns({v: F.col(v).cast("double") for v in variables}))
+    for v in variables:
+        rows = scorer.score(rows.withColumn(v, shocked(F.col(v), delta, epsilon)))
+        after = F.element_at(finite(F.col("PROBS")), F.col("_i"))
+        rows = rows.withColumns({f"_impacto_{v}": after - F.col("_antes"), v: F.col(f"_fora_{v}").cast("double")}).drop("PROBS")
+    impacts = F.array(*[F.struct(F.lit(v).alias("VARIAVEL"), F.col(f"_impacto_{v}").alias("IMPACTO")) for v in variables])
+    own = [F.col(f"_fora_{c}" if c in (*OUTCOME, *variables) else c).alias(c) for c in df.columns]
+    return rows.select(*own, impacts.alias("IMPACTOS"))
+
+
+def shocked_rows(df, scorer, **options):
+    """Long form: each scored row once per variable, with ``VARIAVEL`` and ``IMPACTO``."""
+    return with_impacts(df, scorer, **options).withColumn("_x", F.explode("IMPACTOS")).select(
+        *df.columns, "_x.VARIAVEL", "_x.IMPACTO")
 
 
 def by_size(impacts):

@@ -140,12 +140,16 @@ class BandModel:
         self.absent = {c: F.array(*map(F.lit, table.agg(F.min_by("PARTES", "VALOR")).first()[0]))
                        for c, table in tables.items()}
 
+    def prepare(self, df):
+        """Rows with the label shares of their categories, which many scorings can share."""
+        for c, table in self.tables.items():
+            if f"_{c}_0" not in df.columns:
+                df = encode(df, table, c, f"_{c}_", len(self.classes), self.absent[c])
+        return df
+
     def features(self, df):
         """Rows with the assembled ``features`` vector."""
-        rows = with_features(df, self.numeric)
-        for c, table in self.tables.items():
-            rows = encode(rows, table, c, f"_{c}_", len(self.classes), self.absent[c])
-        return self.pipeline.stages[1].transform(rows)
+        return self.pipeline.stages[1].transform(self.prepare(with_features(df, self.numeric)))
 
     def score(self, df):
         """Add ``PROBS``, one probability per class, summing to 1."""

@@ -54,6 +54,28 @@ def read_folder(spark, path: str, pattern: str, schema=None, fmt: str = "parquet
     return read_table(spark, path, schema, fmt, pathGlobFilter=pattern, **options)
 
 
+def folder_files(spark, path: str, pattern: str):
+    """The paths of a folder's matching files, from their listing; no file is opened."""
+    listed = spark._jvm.org.apache.hadoop.fs.Path(path, pattern)
+    found = listed.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(listed)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def read_drifting(spark, path: str, pattern: str, schema):
+    """Every matching Parquet file of a folder under one schema, also where a column's type or
+    presence differs by file.
+
+    Files are grouped by the schema in their footer; each group is one scan, cast to ``schema``
+    (what can't be cast is null, as are absent columns), and the groups are stacked."""
+    groups = {}
+    for file in folder_files(spark, path, pattern):
+        own = spark.read.parquet(file).schema
+        groups.setdefault(own.json(), (own, []))[1].append(file)
+    if not groups:
+        return spark.createDataFrame([], schema)
+    return union_by_name(*(conform(spark.read.schema(own).parquet(*files), schema) for own, files in groups.values()))
+
+
 def union_by_name(first, *others):
     """Stack tables, columns matched by name, missing ones null."""
     for df in others:
@@ -80,10 +102,14 @@ def conform(df, schema):
     return df.select(*columns)
 
 
-def write_panel(df, path: str):
-    """Write the panel, one folder per year."""
+def write_panel(df, path: str, years=None):
+    """Write the panel, one folder per year; with ``years`` only those years' folders are replaced,
+    and rows of other years are left out."""
+    if years is not None:
+        df = df.filter(F.col("ANO").isin(list(years)))
     # Rebalancing keeps the files of a year few, and splits a year that is far larger.
-    df.hint("rebalance", "ANO").write.mode("overwrite").partitionBy("ANO").parquet(path)
+    writer = df.hint("rebalance", "ANO").write.mode("overwrite").partitionBy("ANO")
+    writer.option("partitionOverwriteMode", "static" if years is None else "dynamic").parquet(path)
 
 
 def read_panel(spark, path: str):
