@@ -8,8 +8,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from turmalina.llm import decontamination, hilbert_sharding, language_id, ngram_jaccard_join, pii, url_filter
-from turmalina.llm.queries import ORACLE, QUERIES
+from turmalina.llm import (
+    decontamination, hilbert_sharding, language_id, ngram_jaccard_join, packed_matrices, pii, url_filter,
+)
+from turmalina.llm.components import components
+from turmalina.llm.queries import ORACLE, QUERIES, TOKENIZER
 
 SF = "/root/testdata/sf0.001"
 
@@ -177,3 +180,19 @@ def test_strings_with_a_common_prefix_stay_apart(spark, prefix):
     # A filter on the source reads few of the 16 shards.
     read = shards.groupBy("source").agg(F.countDistinct("shard").alias("n")).agg(F.avg("n")).first()[0]
     assert read < 8
+
+
+def test_written_matrices_are_read_back(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    packed = packed_matrices.matrices(docs, TOKENIZER)
+    packed_matrices.write_matrices(packed, str(tmp_path / "ids"), rows_per_file=5)
+    again = spark.read.parquet(str(tmp_path / "ids"))
+    assert collections.Counter(map(str, packed.collect())) == collections.Counter(map(str, again.collect()))
+    assert again.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_components_of_odd_links(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 5), (9, 8), (8, 7), (7, 6), (None, 4), (4, None)], "a long, b long")
+    got = {r.node: r.comp for r in components(links.union(links)).collect() if r.node is not None}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 9: 6, 8: 6, 7: 6, 6: 6}
+    assert components(links.limit(0)).count() == 0
