@@ -69,7 +69,7 @@ def pieces(docs, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return common.map_batches(docs, cut, schema)
+    return common.map_batches(docs, cut, schema, "encoders")
 
 
 def matching(counts: dict, capacity: int):

@@ -79,9 +79,15 @@ def ship(spark):
     _shipped.add(context.applicationId)
 
 
-def release():
-    """Give memory that was freed back to the system: Python workers serve one stage after
-    another, and what each keeps for reuse would add up."""
+caches = {}  # name -> what a worker keeps from task to task, for the operators of that name alone
+
+
+def release(keeps: str | None = None):
+    """Give memory that was freed back to the system, and clear the caches of other names: Python
+    workers serve one stage after another, and what each keeps for reuse would add up."""
+    for name, kept in caches.items():
+        if name != keeps:
+            kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -102,14 +108,15 @@ def small_batches(spark, rows: int):
         spark.conf.set(name, before)
 
 
-def map_batches(df, function, schema: str):
-    """``function(batches) -> batches`` over Arrow record batches, one call per partition."""
+def map_batches(df, function, schema: str, keeps: str | None = None):
+    """``function(batches) -> batches`` over Arrow record batches, one call per partition.  A task
+    that ``keeps`` another cache, or none, clears those that earlier operators left in its worker."""
     ship(df.sparkSession)
 
     def lean(batches):
-        release()  # what the stage before it left
+        release(keeps)  # what the stage before it left
         yield from function(batches)
-        release()
+        release(keeps)
 
     return df.mapInArrow(lean, schema)
 

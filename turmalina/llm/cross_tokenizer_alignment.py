@@ -33,7 +33,7 @@ from .wordhash import span_hashes
 
 SEGMENT = 2 << 20  # bytes of one text that are aligned at once
 SPACE_MARK = "▁"
-_sides = {}
+_sides = common.caches.setdefault("sides", {})
 
 
 def _laid_out(items):
@@ -306,7 +306,7 @@ def digests(docs, path_a: str, path_b: str):
                  pa.array(counts, pa.list_(pa.int32()))],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "counts"])
 
-    return common.map_batches(docs, rows, schema)
+    return common.map_batches(docs, rows, schema, "sides")
 
 
 def alignments(docs, path_a: str, path_b: str):
@@ -344,7 +344,7 @@ def alignments(docs, path_a: str, path_b: str):
             columns = [pa.array([own[k] for own in found], pa.list_(pa.int64())) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
 
-    return common.map_batches(docs, rows, schema)
+    return common.map_batches(docs, rows, schema, "sides")
 
 
 def len_of(frame, at):

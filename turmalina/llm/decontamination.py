@@ -209,11 +209,11 @@ def _hits(docs, benchmark, window, block_words, names):
     for k, block in enumerate(_blocks(benchmark, block_words)):
         marked = written(marked, "marked") if k else marked
         blocks.append((f"{uuid.uuid4().hex}", docs.sparkSession.sparkContext.broadcast(block)))
-        marked = common.map_batches(marked, _marker(blocks[-1], window, names), schema)
+        marked = common.map_batches(marked, _marker(blocks[-1], window, names), schema, "matchers")
     return marked, blocks
 
 
-_matchers = {}
+_matchers = common.caches.setdefault("matchers", {})
 
 
 def _matcher(block, window):
@@ -304,4 +304,4 @@ def clean(docs, benchmark, window: int = 10, max_coverage: float = 0.5, block_wo
 
     kept = marked.filter(F.size(added[1]) <= max_coverage * F.col(added[0]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return common.map_batches(kept, cut, schema)
+    return common.map_batches(kept, cut, schema, "matchers")

@@ -16,6 +16,7 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import caches
 from .wordhash import WINDOW, span_hashes
 
 TABLE = 1 << 21  # places for distinct pieces in a worker
@@ -36,7 +37,7 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 ODD = np.zeros(256, bool)
 ODD[[*ODD_LEADS, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
-_encoders = {}
+_encoders = caches.setdefault("encoders", {})
 
 
 def byte_letters():
