@@ -227,42 +227,20 @@ def boosted_trees(model):
     return reduce(lambda a, b: a.union(b), tables)
 
 
-class _Rounds:
+def _tree_arrays(trees, size):
     """All rounds' trees as arrays, node by node; their size is rounds x classes x 2 ** depth."""
-
-    def __init__(self, trees, size):
-        trees = trees.orderBy("k", "treeID").collect()
-        width = max(len(t["nodes"]) for t in trees)
-        self.size, self.rounds = size, len(trees) // size
-        shape = (len(trees), width)
-        self.feature, self.left, self.right = (np.zeros(shape, np.int32) for _ in range(3))
-        self.threshold, self.value = np.zeros(shape), np.zeros(shape)
-        for i, t in enumerate(trees):
-            for n in t["nodes"]:
-                leaf = n["left"] < 0
-                self.feature[i, n["id"]] = 0 if leaf else n["feature"]
-                self.threshold[i, n["id"]] = 0 if leaf else n["threshold"]
-                self.left[i, n["id"]] = n["id"] if leaf else n["left"]
-                self.right[i, n["id"]] = n["id"] if leaf else n["right"]
-                self.value[i, n["id"]] = n["value"] * t["weight"]
-        self.depth = max(1, width.bit_length())
-
-    def losses(self, features, label):
-        """The rows' summed log-loss after each round."""
-        rows, loss = np.arange(len(features)), []
-        margin = np.zeros((self.size, len(features)))
-        for r in range(self.rounds):
-            for k in range(self.size):
-                t = k * self.rounds + r
-                at = np.zeros(len(features), np.int32)
-                for _ in range(self.depth):
-                    low = features[rows, self.feature[t][at]] <= self.threshold[t][at]
-                    at = np.where(low, self.left[t][at], self.right[t][at])
-                margin[k] += self.value[t][at]
-            raw = 1 / (1 + np.exp(-2 * margin))
-            told = raw[label, rows] / raw.sum(0)
-            loss.append(-np.log(np.maximum(told, 1e-15)).sum())
-        return loss
+    trees = trees.orderBy("k", "treeID").collect()
+    width = max(len(t["nodes"]) for t in trees)
+    shape = (len(trees), width)
+    out = {n: np.zeros(shape, np.int32) for n in ("feature", "left", "right")}
+    out |= {n: np.zeros(shape) for n in ("threshold", "value")}
+    for i, t in enumerate(trees):
+        for n in t["nodes"]:
+            at, leaf = (i, n["id"]), n["left"] < 0
+            out["feature"][at], out["threshold"][at] = (0, 0) if leaf else (n["feature"], n["threshold"])
+            out["left"][at], out["right"][at] = (n["id"], n["id"]) if leaf else (n["left"], n["right"])
+            out["value"][at] = n["value"] * t["weight"]
+    return out | {"size": size, "rounds": len(trees) // size, "depth": max(1, width.bit_length())}
 
 
 def evaluate_rounds(panel, model, options=None):
@@ -275,17 +253,33 @@ def evaluate_rounds(panel, model, options=None):
     rows = split_panel(panel, options)
     spark = rows.sparkSession
     shares, prior = _share_loss(rows)
-    trees = spark.sparkContext.broadcast(_Rounds(boosted_trees(model), len(model.classes)))
+    trees = spark.sparkContext.broadcast(_tree_arrays(boosted_trees(model), len(model.classes)))
     names = F.array(*[F.lit(c) for c in model.classes])
     test = model.features(rows.filter("E_TESTE")).withColumn("_s", shares).select(
         vector_to_array("features").alias("features"), _loss(prior).alias("prior"),
         (F.array_position(names, F.col(LABEL)) - 1).cast("int").alias("label"))
 
+    def losses(t, features, label):
+        """The rows' summed log-loss after each round."""
+        rows, loss = np.arange(len(features)), []
+        margin = np.zeros((t["size"], len(features)))
+        for r in range(t["rounds"]):
+            for k in range(t["size"]):
+                i, at = k * t["rounds"] + r, np.zeros(len(features), np.int32)
+                for _ in range(t["depth"]):
+                    low = features[rows, t["feature"][i][at]] <= t["threshold"][i][at]
+                    at = np.where(low, t["left"][i][at], t["right"][i][at])
+                margin[k] += t["value"][i][at]
+            raw = 1 / (1 + np.exp(-2 * margin))
+            loss.append(-np.log(np.maximum(raw[label, rows] / raw.sum(0), 1e-15)).sum())
+        return loss
+
+    # The tasks' functions and data need no module of this package.
     def staged(batches):
         for batch in batches:
             if batch.num_rows:
                 features = np.array(batch.column("features").to_pylist())
-                loss = trees.value.losses(features, batch.column("label").to_numpy())
+                loss = losses(trees.value, features, batch.column("label").to_numpy())
                 n = len(loss)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(1, n + 1), pa.int32()), pa.array([batch.num_rows] * n, pa.int64()), pa.array(loss),
