@@ -58,6 +58,21 @@ def test_slots_come_from_the_index_at_any_number_of_categories(spark):
     assert all(r[0] == r[1] for r in coded.select("wanted", one_hot_slot(stages, "CURSO")).collect())
 
 
+def test_the_driver_holds_no_list_of_categories(spark):
+    """The vector's column doesn't name each slot, and nulls and unseen names have none."""
+    rows = spark.range(5_000).select(F.concat(F.lit("C"), F.col("id") % 2_500).alias("CURSO"), F.lit("U").alias("UNIDADE"))
+    rows = rows.union(spark.createDataFrame([(None, "U")], "CURSO string, UNIDADE string"))
+    rows = rows.withColumns({c: F.lit(1.5) for c in NUMERIC})
+    stages = fit_features(rows, TrainingOptions())
+    coded = PipelineModel(stages).transform(rows)
+    assert len(coded.schema.json()) < 5_000 and coded.count() == 5_001
+    assert coded.schema["features"].metadata["ml_attr"]["num_attrs"] == len(NUMERIC) + 2_499
+    wanted = {name: i for i, name in enumerate(sorted(f"C{i}" for i in range(2_500)))} | {None: 0}
+    for name, vector in coded.select("CURSO", "features").distinct().collect():
+        slots = [len(NUMERIC) - 1 + wanted[name]] * (wanted[name] > 0)
+        assert vector.indices.tolist() == [*range(len(NUMERIC)), *slots]
+
+
 def test_slot_is_where_the_vector_has_its_one(panel):
     df = with_features(panel)
     stages = fit_features(df, TrainingOptions())

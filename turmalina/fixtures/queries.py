@@ -537,7 +537,7 @@ def features(spark, sf):
     df = with_features(written_panel(spark, sf))
     stages = fit_features(df, TrainingOptions())
     rows = PipelineModel(stages).transform(df)
-    size = rows.schema["features"].metadata["ml_attr"]["num_attrs"]
+    size = stages[-1].size
     slots = [one_hot_slot(stages, c).alias(f"POS_{c}") for c in CATEGORICAL]
     return rows.select(
         F.col("ANO").cast("int").alias("ANO"), "CURSO", "UNIDADE", F.lit(size).alias("TAMANHO"), *slots,

@@ -5,11 +5,31 @@ label, so its statistics grow with the bins of a share and not with the number o
 Shares live in a table with one row per category; nothing is held on the driver.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from turmalina.sources.tables import written
+
 FOLDS = 5
 
 
+def category_places(df, column):
+    """One row per category that is not null: ``VALOR`` as text and ``POSICAO``, its place in the
+    alphabet from 0.
+
+    The categories are dealt out in ranges of the alphabet; a range is ranked by itself, and only
+    the ranges' sizes are added up, so no task and not the driver holds all of them.
+    """
+    values = df.select(F.col(column).cast("string").alias("VALOR")).dropna().distinct()
+    dealt = written(values.repartitionByRange("VALOR").withColumn("_parte", F.spark_partition_id()), f"places-{column}")
+    before = Window.orderBy("_de").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_parte").agg(F.min("VALOR").alias("_de"), F.count("*").alias("_n")).select(
+        "_parte", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_antes"))
+    own = Window.partitionBy("_parte").orderBy("VALOR")
+    ranked = dealt.withColumn("_rank", F.row_number().over(own)).join(ranges, "_parte")
+    return ranked.select("VALOR", (F.col("_antes") + F.col("_rank") - 1).alias("POSICAO"))
+
+
 def with_fold(df, keys, folds: int = FOLDS, seed: int = 0):
     """``df`` with ``_dobra``, the fold of a row by a digest of its key."""
     return df.withColumn("_dobra", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(folds)).cast("int"))

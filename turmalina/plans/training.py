@@ -5,15 +5,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from turmalina.operators.encoding import category_table, encode, encode_out_of_fold, with_fold
+from turmalina.operators.encoding import category_places, category_table, encode, encode_out_of_fold, with_fold
 from turmalina.operators.split import stratified_split, with_class_weight
 from turmalina.plans.scoring import with_features
 from turmalina.schemas import CATEGORICAL, NUMERIC, PANEL_KEYS
@@ -41,36 +42,68 @@ class TrainingOptions:
     seed: int = 123
 
 
+class CategorySlots(Transformer):
+    """Adds ``_<column>_p``, the slot of a row's category: its place in the alphabet from 0, and 0
+    for one that is not listed or null.  The places are a table that rows are joined with."""
+
+    def __init__(self, tables):
+        super().__init__()
+        self.tables = tables
+        self.sizes = {c: table.count() for c, table in tables.items()}
+
+    @property
+    def labelsArray(self):
+        """All categories of each column on the driver, last first: for looking at small tables."""
+        return [[r[0] for r in table.orderBy(F.desc("POSICAO")).select("VALOR").collect()]
+                for table in self.tables.values()]
+
+    def _transform(self, df):
+        for c, table in self.tables.items():
+            rows = df.alias("l").join(table.alias("r"), F.col(f"l.`{c}`").cast("string") == F.col("r.VALOR"), "left")
+            df = rows.select("l.*", F.coalesce("r.POSICAO", F.lit(0)).cast("int").alias(f"_{c}_p"))
+        return df
+
+
+class SlotVector(Transformer):
+    """Adds ``features``: the numeric inputs, then one slot per category but the first.  The vector
+    is sparse, and its column tells the number of slots without a name for each."""
+
+    def __init__(self, numeric, sizes):
+        super().__init__()
+        self.numeric, self.columns, self.starts, self.size = list(numeric), list(sizes), [], len(numeric)
+        for n in sizes.values():
+            self.starts.append(self.size - 1)
+            self.size += max(n - 1, 0)
+
+    def _transform(self, df):
+        starts, size = self.starts, self.size
+
+        def vector(numbers, slots):
+            if any(x is None or x != x for x in numbers):
+                raise ValueError("a numeric input is null or NaN")
+            held = {i: x for i, x in enumerate(numbers) if x}
+            return SparseVector(size, held | {start + p: 1.0 for start, p in zip(starts, slots) if p})
+
+        numbers = F.array(*[F.col(c).cast("double") for c in self.numeric])
+        slots = F.array(*[F.col(f"_{c}_p") for c in self.columns])
+        return df.withColumn("features", F.udf(vector, VectorUDT())(numbers, slots)) \
+            .withMetadata("features", {"ml_attr": {"num_attrs": size}})
+
+
 def fit_features(rows, options):
     """Fitted one-hot stages: numeric inputs, then one slot per category but the first.  The
     learner takes label shares instead, whose number doesn't grow with the categories.
 
     A category unseen in training encodes like the first one, as all zeros.
     """
-    indexer = StringIndexer(
-        inputCols=options.categorical, outputCols=[f"_{c}_i" for c in options.categorical],
-        handleInvalid="keep", stringOrderType="alphabetDesc").fit(rows)
-    sizes = {c: len(labels) for c, labels in zip(options.categorical, indexer.labelsArray)}
-    coded = [c for c in options.categorical if sizes[c] > 1]
-    stages = [indexer]
-    if coded:
-        # The encoder drops the slot of unseen values; the slicers drop the first category
-        # and put the others in ascending order.
-        stages.append(OneHotEncoder(inputCols=[f"_{c}_i" for c in coded],
-                                    outputCols=[f"_{c}_v" for c in coded], dropLast=True))
-    stages += [VectorSlicer(inputCol=f"_{c}_v", outputCol=f"_{c}_s",
-                            indices=list(range(sizes[c] - 2, -1, -1))) for c in coded]
-    blocks = [*options.numeric, *[f"_{c}_s" for c in coded]]
-    stages.append(VectorAssembler(inputCols=blocks, outputCol="features"))
-    return Pipeline(stages=stages).fit(rows).stages
+    slots = CategorySlots({c: category_places(rows, c) for c in options.categorical})
+    return [slots, SlotVector(options.numeric, slots.sizes)]
 
 
 def one_hot_slot(stages, column):
     """Slot of a row's category among the column's slots, from 1; 0 for the first or an unseen
-    one.  ``stages`` are those of ``fit_features``; their indices count down the alphabet."""
-    indexer = stages[0]
-    labels = indexer.labelsArray[indexer.getInputCols().index(column)]
-    return F.greatest(len(labels) - 1 - F.col(f"_{column}_i"), F.lit(0)).cast("int")
+    one.  ``stages`` are those of ``fit_features``."""
+    return F.col(f"_{column}_p")
 
 
 def _learner(options):
