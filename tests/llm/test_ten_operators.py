@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -356,6 +357,29 @@ def test_mined_rules_block(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 0) and r.rule is None for r in got)
 
 
+def test_long_urls_lose_no_combination(spark):
+    """Pages of 14 frequent tokens and more: the tokens that only together tell bad pages are the rarest."""
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        told, bad = [t for t in ("ra", "rb") if rng.random() < 0.45], i % 10 == 0
+        told = ["ra", "rb"] if bad else told[:1]
+        rows.append((["t" + c for c in "abcdefghijklmnopqrst" if rng.random() < 0.7] + told, bad))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    assert max(len(own) for own, _ in rows) > url_filter.MOST
+    got = {tuple(sorted(r["items"])): round(r.confidence, 9) for r in url_filter.mine(labelled, min_support=0.05).collect()}
+    tokens, kept = sorted({t for own, _ in rows for t in own}), {}
+    sets = [(set(own), bad) for own, bad in rows]
+    for size in (1, 2, 3, 4):
+        for items in itertools.combinations(tokens, size):
+            if not any(set(k) < set(items) for k in kept):
+                on = [bad for own, bad in sets if own.issuperset(items)]
+                if on and sum(on) >= 15 and sum(on) / len(on) >= 0.5:
+                    kept[items] = round(sum(on) / len(on), 9)
+    assert got == kept and kept[("ra", "rb")] == 1
+    whole = url_filter.mine(labelled, min_support=0.05, most=99).collect()
+    assert {tuple(sorted(r["items"])): round(r.confidence, 9) for r in whole} == kept
+
+
 def test_language_id(any_docs):
     rows = any_docs.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     got = language_id.identify(rows, language_id.learn(rows.filter("NOT held_out")), ("doc_id", "held_out", "lang", "text")).collect()

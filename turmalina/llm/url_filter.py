@@ -6,7 +6,7 @@ the path starts with the rule's; the longest (host and path together) wins.
 
 Where no fixed rule fits, the method decides.  Labelled pages are transactions of their URL's
 tokens (host labels and endings, path parts, query keys) plus the label; Spark's FP-growth mines
-the combinations, and rules ``tokens -> block`` that reach ``min_confidence``, ``min_support``
+the combinations (of long URLs: joins, level by level, with the same result), and rules ``tokens -> block`` that reach ``min_confidence``, ``min_support``
 (but at least ``min_count`` bad pages) and a lift over 1 are kept, but for those that a rule of
 fewer tokens already covers.  They are applied by an inverted index that has each rule under its
 rarest token: a rule fits where a page holds all its tokens, and a page with any fitting rule is
@@ -33,7 +33,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MOST = 12  # tokens of a page whose combinations are mined
+MOST = 12  # frequent tokens of a page up to which FP-growth takes it on
 BAD = "=block"  # the label's item; no token begins like this
 
 
@@ -76,12 +76,60 @@ def _merged(held, least: int):
     return held.join(kept, "token")
 
 
+def _levels(held, seen, least: int, min_confidence: float, base: float):
+    """Rules (items, confidence, lift) of two and more tokens, found level by level and exactly.
+
+    ``held`` has the rows (page, bad, token), ``seen`` the counts of each token.  A combination
+    goes on where it has ``least`` bad pages, is no rule yet (larger ones are covered by it) and is
+    on fewer pages than each combination of one token less (else one without that token is on the
+    same pages).  A level joins two combinations that differ in their last token, page by page, so
+    a task holds no page's combinations together."""
+    spark = held.sparkSession
+    found = spark.createDataFrame([], "items array<string>, confidence double, lift double")
+    counts = seen.select(F.array("token").alias("items"), "pages")
+    on = held.select("page", "bad", F.array("token").alias("items"))
+    size = 1
+    while True:
+        size += 1
+        # Known first: pairs whose every part of one token less goes on.
+        head = F.slice("items", 1, size - 2)
+        ends = counts.select("items", head.alias("head"), F.element_at("items", -1).alias("last"))
+        x, y = ends.alias("x"), ends.alias("y")
+        pairs = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.last") < F.col("y.last"))).select(
+            F.col("x.items").alias("left"), F.col("y.items").alias("right"),
+            F.concat("x.items", F.array("y.last")).alias("items"))
+        if size > 2:
+            parts = pairs.select("items", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter(
+                F.col("items"), lambda t, k: k != i))).alias("part"))
+            whole = parts.join(counts.select(F.col("items").alias("part")), "part").groupBy("items").count().filter(F.col("count") == size)
+            pairs = pairs.join(whole.select("items"), "items")
+        both = on.select("page", "bad", F.col("items").alias("left")).join(pairs, "left").join(
+            on.select("page", F.col("items").alias("right")), ["page", "right"]).select("page", "bad", "items")
+        on = written(both, "level")
+        stats = on.groupBy("items").agg(F.count("*").alias("pages"), F.sum(F.col("bad").cast("long")).alias("bads")) \
+            .filter(F.col("bads") >= least).withColumn("confidence", F.col("bads") / F.col("pages"))
+        is_rule = (F.col("confidence") >= min_confidence) & (F.col("confidence") / base > 1)
+        stats = written(stats.withColumn("rule", is_rule), "counts")
+        found = found.union(stats.filter("rule").select("items", "confidence", (F.col("confidence") / base).alias("lift")))
+        parts = stats.filter("NOT rule").select("items", "pages", F.explode(F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter(F.col("items"), lambda t, k: k != i))).alias("part"))
+        less = parts.join(counts.select(F.col("items").alias("part"), F.col("pages").alias("above")), "part")
+        counts = written(less.groupBy("items", "pages").agg(F.min("above").alias("above")).filter("pages < above")
+                         .select("items", "pages"), "going")
+        if counts.isEmpty():
+            return found
+        on = on.join(counts.select("items"), "items", "left_semi")
+
+
 def mine(labelled, min_support: float = 0.001, min_confidence: float = 0.5, min_count: int = 5, most: int = MOST):
     """Rules (rule_id, items, key, confidence, lift) that block, from columns ``tokens`` and ``bad``.
 
-    ``key`` is the rarest of the items.  Tokens that the same pages hold count as one.  A page gives
-    FP-growth its ``most`` most frequent tokens at most, so its combinations are bounded; every
-    token makes a rule of its own by a plain count, whatever its place."""
+    ``key`` is the rarest of the items.  Tokens that the same pages hold count as one.  FP-growth
+    gets every page whole where none has more than ``most`` tokens that matter; the combinations of
+    longer pages would be too many, so there ``_levels`` looks for the rules that none of fewer
+    tokens covers.  Both count all pages and give the same rules.  Every token makes a rule of its
+    own by a plain count.  A token that is a rule, or that all pages hold, is in no larger rule
+    that is kept, so the combinations go without it."""
     spark = labelled.sparkSession
     empty = "rule_id bigint, items array<string>, key string, confidence double, lift double"
     pages = written(labelled.filter(F.size("tokens") > 0).select("tokens", "bad")
@@ -96,15 +144,24 @@ def mine(labelled, min_support: float = 0.001, min_confidence: float = 0.5, min_
     single = (seen.withColumn("confidence", F.col("bads") / F.col("pages"))
               .filter((F.col("bads") >= least) & (F.col("confidence") >= min_confidence) & (F.col("confidence") > base))
               .select(F.array("token").alias("items"), "confidence", (F.col("confidence") / base).alias("lift")))
-    # A page's most frequent tokens; a page has as many tokens as its URL has parts.
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("p"), "token")))
-    items = held.groupBy("page").agg(F.first("bad").alias("bad"), F.slice(ordered, 1, most).alias("own"))
-    transactions = written(items.select(F.when(F.col("bad"), F.concat("own.token", F.array(F.lit(BAD))))
-                                        .otherwise(F.col("own.token")).alias("items")), "urls")
-    model = FPGrowth(itemsCol="items", minSupport=least / count, minConfidence=min_confidence).fit(transactions)
-    several = (model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1))
-               .select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("confidence") / base).alias("lift"))
-               .filter("lift > 1"))
+    # Support is counted among the pages that hold a frequent token.
+    fewest = max(1, math.ceil(least / count * held.select("page").distinct().count()))
+    open_tokens = seen.join(single.select(F.element_at("items", 1).alias("token")), "token", "left_anti").filter(
+        (F.col("pages") < count) & (F.col("bads") >= fewest))
+    held = written(held.select("page", "bad", "token").join(open_tokens.select("token"), "token"), "open")
+    # A page has as many tokens as its URL has parts.
+    items = held.groupBy("page").agg(F.first("bad").alias("bad"), F.array_sort(F.collect_list("token")).alias("own"))
+    transactions = written(items.select(F.when(F.col("bad"), F.concat("own", F.array(F.lit(BAD)))).otherwise(F.col("own")).alias("items"),
+                                        F.size("own").alias("n")), "urls")
+    longest, n = transactions.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    if longest <= most:
+        share = min(1.0, (fewest - 0.5) / max(n, 1))  # rounded up to ``fewest`` pages
+        model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(transactions)
+        several = (model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1))
+                   .select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("confidence") / base).alias("lift"))
+                   .filter("lift > 1"))
+    else:
+        several = _levels(held, open_tokens.select("token", "pages"), fewest, min_confidence, base)
     rules = written(single.union(several).withColumn("rule_id", F.monotonically_increasing_id()), "found")
     parts = rules.select("rule_id", F.explode("items").alias("token")).join(seen.select("token", "pages"), "token")
     rules = written(rules.join(parts.groupBy("rule_id").agg(F.min(F.struct("pages", "token")).alias("rare")), "rule_id")
