@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 BUCKETS = 64  # at least; parts of one length that are ranked apart
+SLICE_BYTES = 1 << 18  # text bytes encoded at once: the encoder's arrays take some fifty times that
+ROWS = 1000  # documents of an Arrow batch
 
 
 def squeezed(ids):
@@ -46,7 +48,7 @@ def pieces(docs, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids
 
     def cut(batches):
         encoder = tokens.encoder(tokenizer)
-        for batch in common.text_slices(batches):
+        for batch in common.text_slices(batches, limit=SLICE_BYTES):
             data, offsets = common.column_bytes(batch.column("text"))
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, own in enumerate(encoder.rows(data, offsets)):
@@ -183,5 +185,6 @@ def place(cut, capacity: int, plan=matching):
 
 def pack(docs, tokenizer: str, capacity: int = 1024, end_id: int = 2):
     """Every piece of every document with its sequence and place there."""
-    cut = common.written(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    with common.small_batches(docs.sparkSession, ROWS):
+        cut = common.written(pieces(docs, tokenizer, capacity, end_id), "pieces")
     return place(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import common
-from .best_fit_packing import pieces, place, unsqueezed
+from .best_fit_packing import ROWS, pieces, place, unsqueezed
 
 
 class CapacityTree:
@@ -79,7 +79,8 @@ def decreasing(counts: dict, capacity: int):
 
 def matrices(docs, tokenizer: str, capacity: int = 1024, end_id: int = 2, pad_id: int = 0):
     """One row per sequence."""
-    cut = common.written(pieces(docs, tokenizer, capacity, end_id, with_ids=True), "ids")
+    with common.small_batches(docs.sparkSession, ROWS):
+        cut = common.written(pieces(docs, tokenizer, capacity, end_id, with_ids=True), "ids")
     placed = place(cut, capacity, decreasing).select("sequence_id", "offset", "length", "doc_id", "piece", "start", "ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
     schema = (f"sequence_id bigint, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
@@ -117,8 +118,8 @@ def matrices(docs, tokenizer: str, capacity: int = 1024, end_id: int = 2, pad_id
             if kinds is None:
                 kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()),
                          pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            for at in range(0, batch.num_rows, 2000):
-                rows += batch.slice(at, 2000).to_pylist()
+            for at in range(0, batch.num_rows, 500):
+                rows += batch.slice(at, 500).to_pylist()
                 out = flush(False)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
         if rows:

@@ -52,9 +52,10 @@ class Encoder:
     """Ids of text batches; one per worker and vocabulary."""
 
     def __init__(self, path: str):
-        self.plain = Tokenizer.from_file(path)
-        self.added = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values()]
-        vocabulary = self.plain.get_vocab(with_added_tokens=False)
+        plain = Tokenizer.from_file(path)
+        self.path, self._plain = path, None
+        self.added = [t.content.encode() for t in plain.get_added_tokens_decoder().values()]
+        vocabulary = plain.get_vocab(with_added_tokens=False)
         letters = {c: bytes([b]) for b, c in byte_letters().items()}
         ranks = {b"".join(letters[c] for c in word): i for word, i in vocabulary.items()
                  if all(c in letters for c in word)}
@@ -62,6 +63,13 @@ class Encoder:
         self.merges = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.reset()
 
+    @property
+    def plain(self):
+        """The library's own tokenizer, kept from the first text that needs it."""
+        if self._plain is None:
+            self._plain = Tokenizer.from_file(self.path)
+        return self._plain
+
     def reset(self):
         self.keys, self.values = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.int32)
         self.count, self.used = 0, 0
