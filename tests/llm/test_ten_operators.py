@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from turmalina.llm import (
     best_fit_packing, decontamination, hidden_markov, hilbert_sharding, language_id, nearest_neighbours,
-    ngram_jaccard_join, packed_matrices, pii, url_filter,
+    ngram_jaccard_join, packed_matrices, pii, tokens, url_filter,
 )
 from turmalina.llm.common import held_out
 from turmalina.llm.queries import TOKENIZER
@@ -493,3 +493,16 @@ def test_support_and_spans_do_not_depend_on_size(spark):
     assert sorted(pii.report(few, one).collect()) == sorted(pii.report(few, many).collect())
     assert multiset(pii.mask(few, one).collect()) == multiset(pii.mask(few, many).collect())
     assert {r.doc_id: r.text for r in pii.mask(few, many).collect()}[-1] == "rare desk at <phone> soon"
+
+
+def test_the_encoder_keeps_the_library_tokenizer_only_where_a_text_needs_it():
+    own = tokens.Encoder(TOKENIZER)
+
+    def ids(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [row.tolist() for row in own.rows(data, np.array([0, len(data)]))][0]
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    for text, needed in (("one two, three", False), (f"one {own.added[0].decode()} two", True)):
+        assert ids(text) == plain.encode(text, add_special_tokens=False).ids
+        assert (own._plain is not None) == needed
