@@ -65,9 +65,10 @@ def executive_whatif(rows, points=fv.RELEVANT_POINTS):
 
 def top_drivers(rows, keys, k: int = 5):
     """The k variables that move the probability most, with signed percentage points."""
-    listed = F.posexplode(F.slice(by_size(F.col("IMPACTOS")), 1, k)).alias("i", "x")
+    # As in ``shocked_rows``, the outer form keeps the impacts above the joins that choose the rows.
+    listed = F.posexplode_outer(F.slice(by_size(F.col("IMPACTOS")), 1, k)).alias("i", "x")
     table = constant_map(fv.DISPLAY_NAMES)
-    return rows.select(*keys, listed).select(
+    return rows.select(*keys, listed).filter(F.col("i").isNotNull()).select(
         *keys, (F.col("i") + 1).alias("POSICAO"), F.col("x.VARIAVEL").alias("VARIAVEL"),
         F.coalesce(F.element_at(table, F.col("x.VARIAVEL")), F.col("x.VARIAVEL")).alias("ROTULO"),
         _fill("%+.1f", F.col("x.IMPACTO") * 100).alias("PONTOS"))

@@ -71,8 +71,12 @@ def with_impacts(df, scorer, variables=None, delta=0.10, epsilon=1.0, band_index
 
 
 def shocked_rows(df, scorer, **options):
-    """Long form: each scored row once per variable, with ``VARIAVEL`` and ``IMPACTO``."""
-    return with_impacts(df, scorer, **options).withColumn("_x", F.explode("IMPACTOS")).select(
+    """Long form: each scored row once per variable, with ``VARIAVEL`` and ``IMPACTO``.
+
+    A plain ``explode`` would make Spark check for empty lists as early as it can, below the joins
+    that choose the rows, and so score every row of the panel for it; the list is never empty.
+    """
+    return with_impacts(df, scorer, **options).withColumn("_x", F.explode_outer("IMPACTOS")).select(
         *df.columns, "_x.VARIAVEL", "_x.IMPACTO")
 
 
