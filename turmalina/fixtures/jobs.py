@@ -6,7 +6,7 @@ from turmalina.fixtures.tables import (
     BRAND_ARMS, LAGGED, NETWORK_RULES, WAGES, YEARS, Feeds)
 from turmalina.plans import catalogue, competitors, enrolment, geography, labour
 from turmalina.plans.panel import build_panel
-from turmalina.sources.tables import union_by_name
+from turmalina.sources.tables import union_by_name, written
 
 
 class Jobs:
@@ -15,7 +15,7 @@ class Jobs:
 
     @cached_property
     def municipality(self):
-        return geography.municipality_dimension(self.feeds.municipality_unit())
+        return written(geography.municipality_dimension(self.feeds.municipality_unit()), "municipality")
 
     @cached_property
     def territory(self):
@@ -46,6 +46,7 @@ class Jobs:
                                      self.municipality, YEARS)
 
     def enrolments(self, sparse=False):
+        self.feeds.write_sales()
         return enrolment.enrolments(self.feeds.enrolment_cube(sparse), self.municipality)
 
     def course_occupation(self, modality="CHP"):

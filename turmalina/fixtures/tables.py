@@ -134,10 +134,9 @@ class Feeds:
     def enrolment_cube(self, sparse=False):
         """One row per line; ``sparse`` makes every part a course of its own."""
         lines = self._sales().withColumn("course", edition() if sparse else line_course())
-        places = self.t("nation").join(
-            self.t("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"
-        ).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
-        return lines.join(places, "c_nationkey").select(
+        places = self.t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+        units = self.t("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+        return lines.join(places, "c_nationkey").join(units, "n_regionkey").select(
             F.col("l_linestatus").alias("TIPO_ALUNO"),
             F.col("l_returnflag").alias("TIPO_MATRICULA"),
             F.col("o_orderstatus").alias("SITUACAO_CURSO"),
@@ -191,11 +190,11 @@ class Feeds:
             .alias("TP_LOCALIZACAO_DIFERENCIADA"))
 
     def competitors_scraped(self):
-        sellers = self.t("supplier").join(
-            self.t("nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey"
-        ).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "n_name")
+        # One table after the other: Spark takes a join of two small tables for a large one.
+        sellers = self.t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey")
+        places = self.t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
         return self._with_part(self.t("lineitem")).join(
-            sellers, "l_suppkey").select(
+            sellers, "l_suppkey").join(places, "s_nationkey").select(
             F.col("s_name").alias("UNIDADE_DE_ENSINO"),
             F.when(F.col("l_linestatus") == "O", "Educação Presencial")
             .otherwise("Educação a Distância").alias("MODALIDADE"),

@@ -36,7 +36,7 @@ def recode_year(c: Column, mapping: dict) -> Column:
 
 def day_first_year(c: Column) -> Column:
     """Year of a day-first (or ISO) date text, time part ignored; null where it is no date."""
-    day = F.split(F.btrim(c), "[ T]")[0]
+    day = F.substring_index(F.substring_index(F.btrim(c), " ", 1), "T", 1)
     return F.year(F.coalesce(F.try_to_timestamp(day, F.lit("d/M/yyyy")),
                              F.try_to_timestamp(day, F.lit("yyyy-M-d"))))
 

@@ -7,7 +7,7 @@ from turmalina.functions.measures import age_band, fill_numeric, on_groups
 from turmalina.functions.text import (
     drop_subtotals, holds_word, normalise_key, recode, strip, strip_course_prefix, strip_unit_name,
     student_key)
-from turmalina.sources.tables import trim_column_names
+from turmalina.sources.tables import trim_column_names, written
 
 KEYS = ["ANO", "UNIDADE", "CURSO"]
 
@@ -30,27 +30,34 @@ def enrolments(cube, municipality, year_cap=fv.ENROLMENT_YEAR_CAP, city_recode=N
                unit_recode=None):
     """Number of enrolments.
 
-    Subtotal rows go first; the rest is counted under the raw texts, so the text functions
-    run once per distinct combination instead of once per enrolment.  That includes the
-    subtotal search in the counted texts themselves.
+    Subtotal rows go first.  Units and cities are few: their texts are conformed in a table of each,
+    with a row per text, and the enrolments are counted under the conformed unit, so that a city
+    keeps no rows apart.  The course's text functions, the subtotal search included, run once per
+    group and not once per enrolment.
     """
     counted = ["UNIDADE", "CURSO", "CIDADE"]
     others = [c for c in fv.SUBTOTAL_COLUMNS if c not in counted]
-    raw = (drop_subtotals(trim_column_names(cube), others).dropna(subset=["UNIDADE", "CURSO"])
-           .select(F.substring(F.col("PERIODO_LETIVO").cast("string"), 1, 4).alias("p"),
-                   "UNIDADE", "CURSO", "CIDADE")
-           .groupBy("p", "UNIDADE", "CURSO", "CIDADE").agg(F.count("*").alias("n")))
-    raw = raw.filter(on_groups(F.col("n"), ~holds_word([F.col(c) for c in counted])))
-    city = recode(F.upper(strip(F.col("CIDADE"))), city_recode or fv.CITY_RECODE)
+    cube = trim_column_names(cube)
+    units = _texts(cube, "UNIDADE").select("UNIDADE", recode(strip_unit_name(F.col("UNIDADE")), unit_recode or fv.UNIT_RECODE)
+                                           .alias("_unidade"))
     # A city listed more than once repeats its enrolments, as the lookup would.
     listed = municipality.groupBy("MUNICIPIO_COD").agg(F.count("*").alias("vezes"))
-    placed = (raw.withColumn("MUNICIPIO_COD", normalise_key(city))
-              .join(listed, "MUNICIPIO_COD", "left"))
-    return (placed.select(
-                F.col("p").try_cast("int").alias("ANO"),
-                recode(strip_unit_name(F.col("UNIDADE")), unit_recode or fv.UNIT_RECODE)
-                .alias("UNIDADE"),
-                strip_course_prefix(F.col("CURSO")).alias("CURSO"),
-                (F.col("n") * F.coalesce("vezes", F.lit(1))).alias("n"))
+    city = recode(F.upper(strip(F.col("CIDADE"))), city_recode or fv.CITY_RECODE)
+    cities = _texts(cube, "CIDADE").withColumn("MUNICIPIO_COD", normalise_key(city)).join(
+        listed, "MUNICIPIO_COD", "left").select(F.col("CIDADE").alias("_cidade"), F.coalesce("vezes", F.lit(1)).alias("_vezes"))
+    rows = (drop_subtotals(cube, others).dropna(subset=["UNIDADE", "CURSO"])
+            .select(F.substring(F.col("PERIODO_LETIVO").cast("string"), 1, 4).alias("p"), *counted)
+            .join(written(units, "units"), "UNIDADE")
+            .join(written(cities, "cities"), F.col("CIDADE").eqNullSafe(F.col("_cidade"))))
+    raw = rows.groupBy("p", "_unidade", "CURSO").agg(F.sum("_vezes").alias("n"))
+    raw = raw.filter(on_groups(F.col("n"), ~holds_word([F.col("CURSO")])))
+    return (raw.select(F.col("p").try_cast("int").alias("ANO"), F.col("_unidade").alias("UNIDADE"),
+                       strip_course_prefix(F.col("CURSO")).alias("CURSO"), "n")
             .filter(on_groups(F.col("n"), F.col("ANO") <= year_cap))
             .groupBy(*KEYS).agg(F.sum("n").alias("MATRICULAS")))
+
+
+def _texts(cube, column):
+    """The distinct texts of a column that are no subtotals, null included."""
+    texts = cube.groupBy(column).agg(F.count("*").alias("_n"))
+    return texts.filter(on_groups(F.col("_n"), ~holds_word([F.col(column)]))).select(column)

@@ -34,6 +34,14 @@ def attach_unit(df, municipality):
             .drop("MUNICIPIO_COD", "NO_MUNICIPIO"))
 
 
+def unit_by_name(territory, municipality, accents=None):
+    """``UNIDADE`` by the territory's name as written: ``attach_unit`` with the text functions run
+    once per name.  A null name, which a code without territory gets, has a row too."""
+    null = territory.sparkSession.range(1).select(F.lit(None).cast("string").alias("_nome"))
+    names = territory.select(F.col("NO_MUNICIPIO").alias("_nome")).union(null).distinct()
+    return attach_unit(restore_accents(names.withColumn("NO_MUNICIPIO", F.col("_nome")), accents), municipality)
+
+
 def within_years(date_column, years):
     """Rows of the listed years; the range part can be pushed to the scan."""
     c = F.col(date_column)

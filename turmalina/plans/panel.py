@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turmalina.functions.measures import enrolment_band, fill_numeric, on_groups
 from turmalina.functions.text import occupation_family
 from turmalina.schemas import PANEL_COLUMNS, PANEL_KEYS
+from turmalina.sources.tables import written
 
 PLACE = ["UNIDADE", "ANO"]
 OCCUPATION = ["CBO_UNIDADE", "ANO"]
@@ -35,6 +36,9 @@ def build_panel(enrolments, establishments, course_occupation, job_flow, job_lin
     the other feeds, which gives the same totals without the joined rows ever existing.
 
     ``dedupe=True`` sums each feed once, with no repetition.
+
+    The feeds by unit and occupation and by unit and year are far smaller than the panel: they are
+    written first, so Spark knows their sizes and needn't move the panel's rows to look them up.
     """
     def times(name):
         return F.lit(1) if dedupe else F.coalesce(F.col(name), F.lit(1))
@@ -50,6 +54,7 @@ def build_panel(enrolments, establishments, course_occupation, job_flow, job_lin
     links = _grouped(job_links, OCCUPATION, "_n_link", _vinc="QTD_VINCULOS")
     occupations = course_occupation.select("CURSO", "CBO")
     # Codes come without dashes already; the family is kept for the key's sake.
+    flow, links = written(flow, "flow"), written(links, "links")
     by_occupation = (base.join(occupations, "CURSO", "left")
                      .withColumn("CBO", F.replace(occupation_family("CBO"), F.lit("-"), F.lit("")))
                      .withColumn("CBO_UNIDADE", spread_nulls(F.concat("CBO", "UNIDADE"), PANEL_KEYS))
@@ -65,6 +70,7 @@ def build_panel(enrolments, establishments, course_occupation, job_flow, job_lin
     aid = _grouped(benefit, PLACE, "_n_aid", _fam="QTD_FAMILIAS", _rep="TOTAL_REPASSE",
                    _vlr="VLR_MEDIO_BENEFICIO",
                    _vlrs=F.col("VLR_MEDIO_BENEFICIO").isNotNull().cast("long"))
+    firms, aid = written(firms, "firms"), written(aid, "aid")
     joined = (by_key.join(conc, PANEL_KEYS, "left").join(firms, PLACE, "left")
               .join(aid, PLACE, "left"))
 
