@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from turmalina.fixtures.queries import institutions_scraped_column
 from turmalina.fixtures.scorer import fixed_scorer
 from turmalina.plans import competitors, decision, enrolment, whatif
 from turmalina.plans.scoring import score, sensitivity, with_features, with_impacts
@@ -36,6 +37,12 @@ def test_impacts_are_not_computed_to_look_for_empty_lists(spark):
     assert decision.top_drivers(empty, ["UNIDADE", "CURSO"]).count() == 0
 
 
+def test_rules_of_many_keys_are_dealt_out(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    done = institutions_scraped_column(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in done._jdf.queryExecution().executedPlan().toString() and done.count() == 50
+
+
 @pytest.fixture
 def municipality(spark):
     return spark.createDataFrame([("ÁGUA", "U", "AGUA"), ("AGUA", "V", "AGUA"), ("SOL", "U", "SOL")],

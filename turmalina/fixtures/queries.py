@@ -124,8 +124,12 @@ def institutions_scraped(spark, sf):
 
 
 def institutions_scraped_column(spark, sf):
-    """The same table as one expression."""
-    named = names.with_names(table(spark, sf, "part").select("p_partkey"), "p_partkey", names.RULE_TEXTS)
+    """The same table as one expression.  The keys are few bytes a row beside the work of the rules,
+    so they are dealt out anew, in a fixed number of parts that isn't cut down for their few bytes: a
+    file of millions of them is one task's otherwise."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = table(spark, sf, "part").select("p_partkey").repartition(parts, "p_partkey")
+    named = names.with_names(keys, "p_partkey", names.RULE_TEXTS)
     return named.select("p_partkey", text.ordered_rules(F.col("NOME")).alias("INSTITUICAO"))
 
 
