@@ -49,7 +49,7 @@ def municipality(spark):
                                  "MUNICIPIO string, UNIDADE string, MUNICIPIO_COD string")
 
 
-def test_texts_of_units_and_cities_are_conformed_once(spark, municipality):
+def test_texts_of_cities_are_conformed_once(spark, municipality):
     rows = [("SENAI U", "Técnico em X", "\tágua", "2001/1", "a"), ("SENAI U", "Técnico em X", "sol", "2001/1", "a"),
             ("U", "X", None, "2001/2", "a"), ("Total geral", "X", "sol", "2001/1", "a"), ("U", "X total", "sol", "2001/1", "a"),
             ("U", "X", "total", "2001/1", "a"), ("U", "X", "sol", "2001/1", "total"), (None, "X", "sol", "2001/1", "a")]

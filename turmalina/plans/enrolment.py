@@ -30,16 +30,13 @@ def enrolments(cube, municipality, year_cap=fv.ENROLMENT_YEAR_CAP, city_recode=N
                unit_recode=None):
     """Number of enrolments.
 
-    Subtotal rows go first.  Units and cities are few: their texts are conformed in a table of each,
-    with a row per text, and the enrolments are counted under the conformed unit, so that a city
-    keeps no rows apart.  The course's text functions, the subtotal search included, run once per
-    group and not once per enrolment.
+    Subtotal rows go first.  Cities are few: their texts are conformed in a table with a row per text,
+    and a city keeps no rows apart.  The enrolments are counted under the raw unit and course; their
+    text functions, the subtotal search included, run once per group and not once per enrolment.
     """
     counted = ["UNIDADE", "CURSO", "CIDADE"]
     others = [c for c in fv.SUBTOTAL_COLUMNS if c not in counted]
     cube = trim_column_names(cube)
-    units = _texts(cube, "UNIDADE").select("UNIDADE", recode(strip_unit_name(F.col("UNIDADE")), unit_recode or fv.UNIT_RECODE)
-                                           .alias("_unidade"))
     # A city listed more than once repeats its enrolments, as the lookup would.
     listed = municipality.groupBy("MUNICIPIO_COD").agg(F.count("*").alias("vezes"))
     city = recode(F.upper(strip(F.col("CIDADE"))), city_recode or fv.CITY_RECODE)
@@ -47,12 +44,12 @@ def enrolments(cube, municipality, year_cap=fv.ENROLMENT_YEAR_CAP, city_recode=N
         listed, "MUNICIPIO_COD", "left").select(F.col("CIDADE").alias("_cidade"), F.coalesce("vezes", F.lit(1)).alias("_vezes"))
     rows = (drop_subtotals(cube, others).dropna(subset=["UNIDADE", "CURSO"])
             .select(F.substring(F.col("PERIODO_LETIVO").cast("string"), 1, 4).alias("p"), *counted)
-            .join(written(units, "units"), "UNIDADE")
             .join(written(cities, "cities"), F.col("CIDADE").eqNullSafe(F.col("_cidade"))))
-    raw = rows.groupBy("p", "_unidade", "CURSO").agg(F.sum("_vezes").alias("n"))
-    raw = raw.filter(on_groups(F.col("n"), ~holds_word([F.col("CURSO")])))
-    return (raw.select(F.col("p").try_cast("int").alias("ANO"), F.col("_unidade").alias("UNIDADE"),
-                       strip_course_prefix(F.col("CURSO")).alias("CURSO"), "n")
+    raw = rows.groupBy("p", "UNIDADE", "CURSO", "_vezes").agg(F.count("*").alias("n"))
+    raw = raw.filter(on_groups(F.col("n"), ~holds_word([F.col("UNIDADE"), F.col("CURSO")])))
+    return (raw.select(F.col("p").try_cast("int").alias("ANO"),
+                       recode(strip_unit_name(F.col("UNIDADE")), unit_recode or fv.UNIT_RECODE).alias("UNIDADE"),
+                       strip_course_prefix(F.col("CURSO")).alias("CURSO"), (F.col("n") * F.col("_vezes")).alias("n"))
             .filter(on_groups(F.col("n"), F.col("ANO") <= year_cap))
             .groupBy(*KEYS).agg(F.sum("n").alias("MATRICULAS")))
 
