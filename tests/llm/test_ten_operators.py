@@ -165,6 +165,18 @@ def test_jaccard_chains_of_near_copies(spark):
     assert multiset((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
 
 
+def test_large_group_beside_many_texts_meets_more_pivots(spark, monkeypatch):
+    """How far a group is paired out goes by its members, however many other texts there are."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(d, " ".join([f"u{d}_{i}" for i in range(8)])) for d in range(1000, 4000)]
+    rows += [(d, " ".join(base[:d] + base[d + 20:])) for d in range(80)] + [(99, " ".join(base))]
+    pivots, seen = ngram_jaccard_join._pivots, []
+    monkeypatch.setattr(ngram_jaccard_join, "_pivots", lambda lists, percent: seen.append(1) or pivots(lists, percent))
+    got = ngram_jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert multiset((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
+    assert len(seen) > 1
+
+
 def test_one_of_each(edge):
     kept = ngram_jaccard_join.one_of_each(edge)
     assert kept.columns == edge.columns
