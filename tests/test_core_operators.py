@@ -51,6 +51,22 @@ def test_split_is_exact_per_class_and_stable(spark):
     assert chosen != {r.k for r in stratified_split(df, "lab", ["k"], seed=9).filter("E_TESTE").collect()}
 
 
+def test_split_moves_only_the_ranges_where_the_share_ends(spark):
+    """Null labels are a class, equal keys count one by one, and no join meets the rows."""
+    rows = [(i // 2 if i % 5 else None, "a" if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, lab string")
+    split = stratified_split(df, "lab", ["k"])
+    assert "Join" not in split._jdf.queryExecution().optimizedPlan().toString()
+    assert split.columns == ["k", "lab", "E_TESTE"]
+    got = Counter((r.lab, r.E_TESTE) for r in split.collect())
+    assert got == {("a", True): 40, ("a", False): 160, (None, True): 20, (None, False): 80}
+    assert Counter((r.k, r.lab) for r in split.collect()) == Counter(rows)
+    for share, wanted in ((0.0, {False: 300}), (1.0, {True: 300})):
+        assert Counter(r.E_TESTE for r in stratified_split(df, "lab", ["k"], share).collect()) == wanted
+    assert stratified_split(df.limit(0), "lab", ["k"]).count() == 0
+
+
+
 def test_balanced_weights(spark):
     df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 2, "lab string")
     assert {r.lab: r.PESO for r in class_weights(df, "lab").collect()} == {"a": 8 / 12, "b": 8 / 4}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turmalina.functions import fixed_values as fv
 from turmalina.operators.encoding import category_table, encode, encode_out_of_fold
+from turmalina.plans import training
 from turmalina.plans.scenario import future_matrix
 from turmalina.plans.scoring import score, with_features
 from turmalina.plans.training import (
@@ -35,6 +36,19 @@ def model(panel):
     return train(panel, SMALL)
 
 
+def test_the_panel_is_split_once_and_large_fits_follow_one_another(panel, model, monkeypatch):
+    plans, at_once, one_vs_rest = [], [], training.OneVsRest
+    monkeypatch.setattr(training, "category_table", lambda df, *rest: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or category_table(df, *rest))
+    monkeypatch.setattr(training, "OneVsRest", lambda **given: at_once.append(given["parallelism"]) or one_vs_rest(**given))
+    small = train(panel, SMALL)
+    monkeypatch.setattr(training, "SIDE_BY_SIDE", 0)
+    large = train(panel, SMALL)
+    assert at_once == [3, 1] and len(plans) == 4 and not any("Window" in p or "md5" in p for p in plans)
+    told = [[tuple(r) for r in score(with_features(panel), m).select("PROBS").orderBy(*panel.columns).collect()] for m in (small, large)]
+    assert told[0] == told[1]
+
+
 def test_encoding(spark, panel):
     df = with_features(panel)
     stages = fit_features(df, TrainingOptions())

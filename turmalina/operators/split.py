@@ -9,7 +9,8 @@ def stratified_split(df, label, key, test_share: float = 0.2, seed: int = 123):
 
     Rows are ordered inside their class by a seeded digest of the key.  The order is cut
     into 4096 digest ranges; a class may be most of the table, but only the ranges are
-    counted and only rows of one range are ever ranked together.
+    counted.  All rows of a range are on one side but those of the range where the share
+    ends, so only these, one range of each class, are moved and ranked.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     marked = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
@@ -17,17 +18,22 @@ def stratified_split(df, label, key, test_share: float = 0.2, seed: int = 123):
     counts = marked.groupBy(label, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)
+    # A struct as the key, so that a null label is a class as well.
     offsets = counts.select(
-        F.col(label).alias("_label"), F.col("_range").alias("_r"),
+        F.struct(F.col(label).alias("label")).alias("k"), F.col("_range").alias("edge"), "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.round(F.sum("_n").over(whole) * F.lit(test_share)).cast("long").alias("_quota"))
-
+    # One entry per class; a class that is all test has none.
+    ends = offsets.filter("_before <= _quota AND _quota < _before + _n").agg(F.map_from_entries(F.collect_list(
+        F.struct("k", F.struct("edge", (F.col("_quota") - F.col("_before")).alias("left")))))).scalar()
+    own = F.element_at(ends, F.struct(F.col(label).alias("label")))
+    placed = marked.withColumn("_own", own)
+
+    sure = placed.filter(F.col("_own").isNull() | (F.col("_range") != F.col("_own.edge"))).select(
+        *df.columns, F.coalesce(F.col("_range") < F.col("_own.edge"), F.lit(True)).alias("E_TESTE"))
     inside = Window.partitionBy(label, "_range").orderBy("_digest", *key)
-    ranked = marked.withColumn("_rank", F.row_number().over(inside))
-    placed = ranked.join(
-        offsets, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
-    test = (F.col("_before") + F.col("_rank")) <= F.col("_quota")
-    return placed.select(*df.columns, test.alias("E_TESTE"))
+    ranked = placed.filter(F.col("_range") == F.col("_own.edge")).withColumn("_rank", F.row_number().over(inside))
+    return sure.union(ranked.select(*df.columns, (F.col("_rank") <= F.col("_own.left")).alias("E_TESTE")))
 
 
 def class_weights(df, label):

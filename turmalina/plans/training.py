@@ -21,6 +21,7 @@ from turmalina.schemas import CATEGORICAL, NUMERIC, PANEL_KEYS
 from turmalina.sources.tables import load_model, save_model, work_path, written
 
 LABEL = "FAIXA_MAT"
+SIDE_BY_SIDE = 2_000_000  # training rows up to which the bands are fitted at the same time
 
 
 @dataclass
@@ -134,7 +135,9 @@ def train(panel, options=None):
     A category enters as the label shares of its training rows (``operators.encoding``), out of
     fold for the training rows themselves, so a tree looks at a few bins per column however many
     courses there are.  The trees see balanced class weights.  Boosting is one binary fit per
-    band, run side by side; all read one written copy of the encoded rows.
+    band; all read one written copy of the encoded rows.  A fit caches its rows several times over,
+    so the fits of a large panel follow one another and those of a small one run side by side.
+    The training rows are written first, so the panel is split once.
     """
     options = options or TrainingOptions()
     rows = with_features(panel, options.numeric)
@@ -145,8 +148,9 @@ def train(panel, options=None):
     if size < 2:
         raise ValueError("the panel holds one band only; nothing can be learnt")
     learner = _learner(options)
-    training = with_class_weight(split_panel(rows, options).filter("NOT E_TESTE"), LABEL)
-    training = with_fold(training, PANEL_KEYS, seed=options.seed)
+    needed = list(dict.fromkeys([*PANEL_KEYS, LABEL, *options.categorical, *options.numeric]))
+    training = written(split_panel(rows, options).filter("NOT E_TESTE").select(*needed), "training")
+    training = with_fold(with_class_weight(training, LABEL), PANEL_KEYS, seed=options.seed)
     tables = {c: written(category_table(training, c, LABEL, labels.labels, options.smoothing), f"categories-{c}")
               for c in options.categorical}
     encoded = training
@@ -157,7 +161,7 @@ def train(panel, options=None):
                       "encoded")
     if options.learner == "boosted":
         learner = OneVsRest(classifier=learner, labelCol="label", featuresCol="features",
-                            weightCol="PESO", parallelism=size)
+                            weightCol="PESO", parallelism=size if encoded.count() <= SIDE_BY_SIDE else 1)
     tables = {c: table.select("VALOR", "PARTES") for c, table in tables.items()}
     return BandModel(PipelineModel([labels, assembler, learner.fit(encoded)]), tables, spark)
 
@@ -311,7 +315,7 @@ def evaluate_rounds(panel, model, options=None):
     def staged(batches):
         for batch in batches:
             if batch.num_rows:
-                features = np.array(batch.column("features").to_pylist())
+                features = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
                 loss = losses(trees.value, features, batch.column("label").to_numpy())
                 n = len(loss)
                 yield pa.RecordBatch.from_arrays(
