@@ -4,6 +4,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+def _with_digest(df, key, seed):
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
+
+
+def in_digest_order(df, label, key, seed: int = 123):
+    """The rows dealt out by class and digest range, and in the order of the digest inside a part: a
+    learner that draws rows by their place then draws the same ones however ``df`` lay."""
+    marked = _with_digest(df, key, seed).repartition(label, "_range")
+    return marked.sortWithinPartitions(label, "_range", "_digest", *key).select(*df.columns)
+
+
 def stratified_split(df, label, key, test_share: float = 0.2, seed: int = 123):
     """Mark ``E_TESTE`` on an exact share of every class, the same on every run.
 
@@ -12,9 +24,7 @@ def stratified_split(df, label, key, test_share: float = 0.2, seed: int = 123):
     counted.  All rows of a range are on one side but those of the range where the share
     ends, so only these, one range of each class, are moved and ranked.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    marked = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
-
+    marked = _with_digest(df, key, seed)
     counts = marked.groupBy(label, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(label)

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from turmalina.operators.encoding import category_places, category_table, encode, encode_out_of_fold, with_fold
-from turmalina.operators.split import stratified_split, with_class_weight
+from turmalina.operators.split import in_digest_order, stratified_split, with_class_weight
 from turmalina.plans.scoring import with_features
 from turmalina.schemas import CATEGORICAL, NUMERIC, PANEL_KEYS
 from turmalina.sources.tables import load_model, save_model, work_path, written
@@ -137,7 +137,7 @@ def train(panel, options=None):
     courses there are.  The trees see balanced class weights.  Boosting is one binary fit per
     band; all read one written copy of the encoded rows.  A fit caches its rows several times over,
     so the fits of a large panel follow one another and those of a small one run side by side.
-    The training rows are written first, so the panel is split once.
+    The split rows are written first, so the panel is split and put in order once.
     """
     options = options or TrainingOptions()
     rows = with_features(panel, options.numeric)
@@ -149,7 +149,8 @@ def train(panel, options=None):
         raise ValueError("the panel holds one band only; nothing can be learnt")
     learner = _learner(options)
     needed = list(dict.fromkeys([*PANEL_KEYS, LABEL, *options.categorical, *options.numeric]))
-    training = written(split_panel(rows, options).filter("NOT E_TESTE").select(*needed), "training")
+    split = in_digest_order(split_panel(rows, options).select(*needed, "E_TESTE"), LABEL, PANEL_KEYS, options.seed)
+    training = written(split, "training").filter("NOT E_TESTE").drop("E_TESTE")
     training = with_fold(with_class_weight(training, LABEL), PANEL_KEYS, seed=options.seed)
     tables = {c: written(category_table(training, c, LABEL, labels.labels, options.smoothing), f"categories-{c}")
               for c in options.categorical}
