@@ -177,6 +177,22 @@ def test_large_group_beside_many_texts_meets_more_pivots(spark, monkeypatch):
     assert len(seen) > 1
 
 
+def test_lists_of_one_group_have_one_pivot(spark):
+    """Also a list that the group's best class is not in is held against it."""
+    rows = [(key, 0) for key in range(5)] + [(key, c) for key in range(5) for c in range(1, 9) if (key + c) % 4]
+    rows += [(9, c) for c in range(1, 9)]
+    lists = spark.createDataFrame([(k, c, 100) for k, c in rows], "key bigint, cid bigint, n bigint")
+    pairs = {(r.a, r.b) for r in ngram_jaccard_join._pivots(lists, 85).collect()}
+    assert pairs == {(c, 0) for c in range(1, 9)}
+
+
+def test_missed_shingles_rule_out_pairs_of_a_size_list(spark):
+    """Two classes pair by size only if each may reach the other's size with what it has of the pivot."""
+    rows = [(1, 10, 100, 10, 101), (1, 11, 101, 11, 99), (1, 12, 101, 12, 100)]
+    lists = spark.createDataFrame(rows, "key bigint, cid bigint, n bigint, comp bigint, reach bigint")
+    assert {(r.a, r.b) for r in ngram_jaccard_join._list_pairs(lists, 85).collect()} == {(10, 12)}
+
+
 def test_one_of_each(edge):
     kept = ngram_jaccard_join.one_of_each(edge)
     assert kept.columns == edge.columns
