@@ -126,6 +126,16 @@ def test_matrices_hold_every_document(any_docs, tokenizer):
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
+def test_encoder_of_a_worker_stays_small(tokenizer):
+    """However many distinct pieces a worker has met, what it keeps of them is some 30 MB."""
+    encoder = tokens.Encoder(TOKENIZER)
+    for part in range(6):
+        text = " ".join(f"q{i:x}" for i in range(part * 100_000, (part + 1) * 100_000)).encode()
+        rows = list(encoder.rows(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+    assert rows[0][-40:].tolist() == ids_of(tokenizer, text.decode()[-400:])[-41:-1]
+    assert sum(a.nbytes for a in (encoder.keys, encoder.values, encoder.ids, encoder.ends)) <= 32 << 20
+
+
 def shingles(text, width=4):
     w = words(text)
     return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 BUCKETS = 64  # at least; parts of one length that are ranked apart
-SLICE_BYTES = 1 << 18  # text bytes encoded at once: the encoder's arrays take some fifty times that
-ROWS = 1000  # documents of an Arrow batch
+SLICE_BYTES = 1 << 17  # text bytes encoded at once: the encoder's arrays take some fifty times that
+ROWS = 500  # documents of an Arrow batch
 
 
 def squeezed(ids):

@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 from .common import caches
 from .wordhash import WINDOW, span_hashes
 
-TABLE = 1 << 21  # places for distinct pieces in a worker
-CACHE = 1_500_000  # pieces a worker encodes before it starts anew
+TABLE = 1 << 20  # places for distinct pieces in a worker
+CACHE = 400_000  # pieces a worker encodes before it starts anew; its arrays take some 30 MB then
 #: Fixed value: the split pattern of the byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that begin a white-space character outside ASCII (U+0085, U+00A0, U+1680, U+2000..U+3000),
