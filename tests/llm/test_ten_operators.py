@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turmalina.llm import (
-    best_fit_packing, decontamination, hidden_markov, hilbert_sharding, language_id, nearest_neighbours,
+    best_fit_packing, common, decontamination, hidden_markov, hilbert_sharding, language_id, nearest_neighbours,
     ngram_jaccard_join, packed_matrices, pii, tokens, url_filter,
 )
 from turmalina.llm.common import held_out
@@ -187,6 +187,35 @@ def test_large_group_beside_many_texts_meets_more_pivots(spark, monkeypatch):
     assert len(seen) > 1
 
 
+def test_index_pairs_and_sets_are_moved_in_parts(spark, monkeypatch):
+    """What lies on disk at a time is a part of the index, the pairs and the sets, and no prefix once
+    the index is there."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for d in range(40 if group == 0 else 6):
+            own = base[:]
+            own[rng.integers(60)] = f"x{d}"
+            rows.append((100 * group + d, " ".join(own)))
+    rows += [(5000, rows[0][1]), (5001, None), (None, rows[-1][1]), (5002, "two words"), rows[7]]
+    parts, held, handed = {}, {}, ngram_jaccard_join.written_in_parts
+
+    def seen(spark, part_of, n, name):
+        out = handed(spark, part_of, n, name)
+        parts[name] = max(n, parts.get(name, 0))
+        held[name] = [f.columns for f in common._handed if "prefix" in f.columns]
+        return out
+
+    monkeypatch.setattr(ngram_jaccard_join, "written_in_parts", seen)
+    monkeypatch.setattr(ngram_jaccard_join, "PART", 50)
+    monkeypatch.setattr(ngram_jaccard_join, "PARTS", 2)
+    got = ngram_jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert multiset((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
+    assert min(parts[name] for name in ("entries", "pairs", "whole", "found")) > 1
+    assert len(held["entries"]) == 1 and not held["pairs"] and not held["found"]
+
+
 def test_lists_of_one_group_have_one_pivot(spark):
     """Also a list that the group's best class is not in is held against it."""
     rows = [(key, 0) for key in range(5)] + [(key, c) for key in range(5) for c in range(1, 9) if (key + c) % 4]
