@@ -39,7 +39,7 @@ def model(panel):
 def test_the_panel_is_split_once_and_large_fits_follow_one_another(panel, model, monkeypatch):
     plans, at_once, one_vs_rest = [], [], training.OneVsRest
     monkeypatch.setattr(training, "category_table", lambda df, *rest: plans.append(
-        df._jdf.queryExecution().optimizedPlan().toString()) or category_table(df, *rest))
+        df._jdf.queryExecution().analyzed().toString()) or category_table(df, *rest))
     monkeypatch.setattr(training, "OneVsRest", lambda **given: at_once.append(given["parallelism"]) or one_vs_rest(**given))
     small = train(panel, SMALL)
     monkeypatch.setattr(training, "SIDE_BY_SIDE", 0)
@@ -195,3 +195,20 @@ def test_one_band_cannot_be_learnt(panel):
         train(panel.withColumn("FAIXA_MAT", F.lit(fv.BAND_LOW)), SMALL)
     with pytest.raises(ValueError):
         train(panel, TrainingOptions(learner="other"))
+
+
+def test_shares_of_every_row_are_compiled(spark):
+    """The out-of-fold shares are plain arithmetic on the counts, without a function over a list, and
+    are those of the other folds' rows."""
+    rows = [("a", "x", 0), ("a", "x", 1), ("a", "y", 1), ("b", "y", 0), (None, "x", 2), ("c", "y", 4)]
+    df = spark.createDataFrame(rows, "C string, L string, _dobra int")
+    table = category_table(df, "C", "L", ["x", "y"], 10.0)
+    got = encode_out_of_fold(df, table, "C", "p_", 2, 10.0)
+    expected = []
+    for c, label, fold in rows:
+        own = [m for d, m, f in rows if d == c and f != fold]
+        expected.append((c, label, fold, *[(own.count(k) + 3 / 6 * 10.0) / (len(own) + 10.0) for k in "xy"]))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    table = spark.createDataFrame(table.collect(), table.schema)  # without the plan that counts
+    plan = encode_out_of_fold(df, table, "C", "p_", 2)._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan

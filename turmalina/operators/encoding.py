@@ -5,6 +5,9 @@ label, so its statistics grow with the bins of a share and not with the number o
 Shares live in a table with one row per category; nothing is held on the driver.
 """
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -77,7 +80,10 @@ def encode_out_of_fold(df, table, column, prefix, size, smoothing: float = 10.0)
     row's label says nothing about its own shares."""
     rows = df.alias("l").join(table.select("VALOR", "N", "TODOS", "DOBRAS").alias("r"),
                               F.col(f"l.`{column}`").eqNullSafe(F.col("r.VALOR")))
-    others = F.zip_with(F.col("r.N"), F.element_at(F.col("r.DOBRAS"), F.col("l._dobra")), lambda n, own: n - own)
-    told = _shares(others, F.col("r.TODOS"), smoothing)
-    return rows.withColumn("_partes", told).select(
-        "l.*", *[F.col("_partes")[k].alias(f"{prefix}{k}") for k in range(size)])
+    rows = rows.withColumn("_propria", F.element_at(F.col("r.DOBRAS"), F.col("l._dobra")))
+    # Plain arithmetic per label: functions over lists aren't compiled, and this runs on every row.
+    others = [F.col("r.N")[k] - F.col("_propria")[k] for k in range(size)]
+    whole = [F.col("r.TODOS")[k] for k in range(size)]
+    total, all_rows = reduce(add, others), reduce(add, whole)
+    return rows.select("l.*", *[((others[k] + whole[k] / all_rows * smoothing) / (total + smoothing)).alias(f"{prefix}{k}")
+                                for k in range(size)])

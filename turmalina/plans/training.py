@@ -203,10 +203,9 @@ class BandModel:
                 .setPredictionCol("").transform(rows)
             raw = vector_to_array(F.col("_p"))
         rows = rows.withColumn("_raw", raw)
-        total = F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x)
-        rows = rows.withColumn("_total", total).withColumn(
-            "PROBS", F.transform("_raw", lambda x: x / F.col("_total")))
-        return rows.select(*df.columns, "PROBS")
+        parts = [F.col("_raw")[k] for k in range(len(self.classes))]
+        rows = rows.withColumn("_total", reduce(lambda a, b: a + b, parts, F.lit(0.0)))
+        return rows.withColumn("PROBS", F.array(*[x / F.col("_total") for x in parts])).select(*df.columns, "PROBS")
 
     def save(self, path):
         save_model(self.pipeline, f"{path}/pipeline")
